@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import tempfile
-import zlib
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -38,8 +37,21 @@ def stable_order(*cols: str):
     return F.xxhash64(*[F.col(c) for c in cols], F.lit("sample"))
 
 
-def text_hash(word: str) -> int:
-    return zlib.crc32(word.encode("utf-8", "surrogatepass"))
+def labelled_sample(
+    docs: DataFrame, labels: DataFrame, label: str, parts: int, held_out: int, max_docs: int, max_chars: int
+) -> list[tuple[str, int]]:
+    """About ``max_docs`` labelled texts outside the held-out fold, none beyond ``max_chars``, picked by a hash of the id.
+
+    Null labels and null texts teach nothing. The sample is bounded by its two parameters.
+    """
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~in_fold("doc_id", parts, held_out))
+    known = known.groupBy(F.col("doc_id").alias("_id")).agg(F.max(label).alias("_label"))
+    share = max_docs / max(1, known.count())
+    known = known.where(F.pmod(stable_order("_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+    texts = docs.where(F.length("text") <= max_chars).select(F.col("doc_id"), "text")
+    rows = texts.join(F.broadcast(known), texts.doc_id == known._id).select("_id", "text", "_label").collect()
+    rows.sort(key=lambda r: (r._id, r.text))
+    return [(r.text, int(r._label)) for r in rows]
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
