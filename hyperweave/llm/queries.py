@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, langid, quality, simhash, toxicity
+from . import bpe, decontaminate, langid, quality, simhash, toxicity
 from .common import in_fold
 
 
@@ -49,11 +50,17 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model).select("doc_id", in_fold("doc_id", 4, 2).alias("held_out"), "lang_pred", "score")
 
 
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe.encoded_digests(_read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op3_decontaminate": op3_decontaminate,
     "op6_simhash": op6_simhash,
     "op7_toxicity": op7_toxicity,
     "op8_language": op8_language,
+    "op10_bpe": op10_bpe,
 }
 SQL: dict[str, str] = {}
