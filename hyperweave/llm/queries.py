@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, langid, quality, simhash, toxicity
+from . import bpe, decontaminate, htmlextract, langid, quality, simhash, toxicity, wavelet
 from .common import in_fold
 
 
@@ -50,6 +50,16 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model).select("doc_id", in_fold("doc_id", 4, 2).alias("held_out"), "lang_pred", "score")
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _read(spark, sf_dir, "pages")
+    return htmlextract.extracted(pages, htmlextract.fit(pages))
+
+
+def op5_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return wavelet.read_shards(wavelet.write_shards(_read(spark, sf_dir, "documents"), wavelet.shard_folder(spark), path))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.encoded_digests(_read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
@@ -57,7 +67,9 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op2_html": op2_html,
     "op3_decontaminate": op3_decontaminate,
+    "op5_wavelet": op5_wavelet,
     "op6_simhash": op6_simhash,
     "op7_toxicity": op7_toxicity,
     "op8_language": op8_language,
