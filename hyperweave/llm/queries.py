@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, htmlextract, langid, quality, simhash, toxicity, wavelet
+from . import bpe, chat, decontaminate, embeddings, htmlextract, langid, quality, simhash, toxicity, wavelet
 from .common import in_fold
 
 
@@ -55,11 +55,24 @@ def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmlextract.extracted(pages, htmlextract.fit(pages))
 
 
+def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
 def op5_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     return wavelet.read_shards(wavelet.write_shards(_read(spark, sf_dir, "documents"), wavelet.shard_folder(spark), path))
 
 
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.range(2).select(
+        F.lit(-1).cast("long"), F.col("id"), F.element_at(F.array(F.lit("user"), F.lit("assistant")), F.col("id").cast("int") + 1), F.lit(said)
+    )
+    return chat.read_back(*chat.formatted(own.union(extra)))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.encoded_digests(_read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
@@ -69,10 +82,12 @@ QUERIES = {
     "op1_quality": op1_quality,
     "op2_html": op2_html,
     "op3_decontaminate": op3_decontaminate,
+    "op4_embeddings": op4_embeddings,
     "op5_wavelet": op5_wavelet,
     "op6_simhash": op6_simhash,
     "op7_toxicity": op7_toxicity,
     "op8_language": op8_language,
+    "op9_chat": op9_chat,
     "op10_bpe": op10_bpe,
 }
 SQL: dict[str, str] = {}
