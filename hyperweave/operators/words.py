@@ -46,11 +46,17 @@ def string_ball(words: DataFrame, letters: list[str], radius: int, col: str = "w
     out = now = words.select(F.col(col).alias("word")).distinct().select("word", F.col("word").alias("near"), F.lit(0).alias("dist"))
     places = F.sequence(F.lit(0), F.length("near"))
     head, tail = lambda p: F.substring(F.col("near"), F.lit(1), p), lambda p: F.substr(F.col("near"), p + 1)
+    within = F.filter(places, lambda p: p < F.length("near"))
+
+    def grown(c: str):
+        return F.transform(places, lambda p: F.concat(head(p), F.lit(c), tail(p)))
+
+    def swapped(c: str):
+        return F.transform(within, lambda p: F.concat(head(p), F.lit(c), tail(p + 1)))
+
+    shrunk = F.transform(within, lambda p: F.concat(head(p), tail(p + 1)))
     for d in range(1, radius + 1):
-        grown = [F.transform(places, lambda p, c=c: F.concat(head(p), F.lit(c), tail(p))) for c in letters]
-        cut = F.transform(F.filter(places, lambda p: p < F.length("near")), lambda p: F.concat(head(p), tail(p + 1)))
-        swap = [F.transform(F.filter(places, lambda p: p < F.length("near")), lambda p, c=c: F.concat(head(p), F.lit(c), tail(p + 1))) for c in letters]
-        step = F.array_distinct(F.concat(*grown, cut, *swap))
+        step = F.array_distinct(F.concat(*map(grown, letters), shrunk, *map(swapped, letters)))
         now = now.select("word", F.explode(step).alias("near")).distinct().withColumn("dist", F.lit(d))
         now = now.join(out.select("word", "near"), ["word", "near"], "left_anti")
         out = out.union(now)
