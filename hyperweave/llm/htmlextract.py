@@ -182,7 +182,7 @@ def features(blocks: list[Block]) -> np.ndarray:
             np.array([b.tag in ("p", "blockquote", "pre") for b in blocks], float),
             np.array([b.tag in HEADINGS for b in blocks], float),
             np.array([b.tag in ("li", "dd", "dt", "td") for b in blocks], float),
-            np.array([b.depth for b in blocks]) / 10,
+            np.minimum([b.depth for b in blocks], 30) / 10,
             np.array([b.boiler > 0 for b in blocks], float),
             np.array([b.content > 0 for b in blocks], float),
         ],

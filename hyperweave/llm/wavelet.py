@@ -106,7 +106,8 @@ class WaveletMatrix:
         return lo, hi
 
     def count(self, value: int, lo: int = 0, hi: int | None = None) -> int:
-        a, b = self._range(value, lo, self.size if hi is None else hi)
+        hi = self.size if hi is None else min(hi, self.size)
+        a, b = self._range(value, min(lo, hi), hi)
         return b - a
 
     def select(self, value: int, k: int) -> int:
