@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import edits, graphs, measures, sequences, temporal  # noqa: F401  they register their queries
+from . import edits, graphs, language, measures, sequences, temporal  # noqa: F401  they register their queries
 from .registry import QUERIES, SQL
 
 
