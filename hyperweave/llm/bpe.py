@@ -22,34 +22,36 @@ import itertools
 from collections.abc import Iterator
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
 #: Distinct words that one recursive query takes, and characters of documents that wait for it.
-WORDS_AT_ONCE = 40_000
-CHARS_AT_ONCE = 12_000_000
+WORDS_AT_ONCE = 60_000
+CHARS_AT_ONCE = 16_000_000
 #: Words that a worker keeps from one stretch to the next.
-KEPT_PIECES = 350_000
+KEPT_PIECES = 500_000
 MEMORY = "350MB"
 #: Words of more bytes are contracted with a heap: rounds over all tokens of a word are quadratic in its length.
 LONG_WORD = 200
+#: The ids of a word, joined by commas, their number, and the bytes they decode to.
+Encoded = tuple[str, int, bytes]
 ODD_SPACE = regex.compile(r"[^\S \n]")
 
 ENCODE = """
 WITH RECURSIVE state AS (
-  SELECT word, pos, pos + 1 AS after, id, lead(id) OVER (PARTITION BY word ORDER BY pos) AS next_id, 0 AS round
-  FROM start
+  SELECT a.word, a.pos, a.pos + 1 AS after, a.id, a.next_id, 0 AS round
+  FROM start a
   UNION ALL
   (
   WITH ranked AS (
-    SELECT s.word, min(m.merged::BIGINT * 256 + s.pos) AS pick
-    FROM state s JOIN merges m ON m.a = s.id AND m.b = s.next_id
+    SELECT s.word, min(m.merged::BIGINT * 65536 + s.pos * 256 + s.after) AS pick
+    FROM state s JOIN merges m ON m.pair = s.id::BIGINT * 4294967296 + s.next_id
     GROUP BY s.word
   ), pick AS (
-    SELECT r.word, r.pick % 256 AS pos, (r.pick // 256)::INTEGER AS merged, f.after
-    FROM ranked r JOIN state f ON f.word = r.word AND f.pos = r.pick % 256
+    SELECT word, (pick // 256 % 256)::INTEGER AS pos, (pick // 65536)::INTEGER AS merged, (pick % 256)::INTEGER AS after FROM ranked
   ), chosen AS (
     SELECT p.word, p.pos, p.merged, p.after AS gone, g.after AS after, g.next_id
     FROM pick p JOIN state g ON g.word = p.word AND g.pos = p.after
@@ -63,7 +65,7 @@ WITH RECURSIVE state AS (
   WHERE s.pos <> c.gone
   )
 ), last AS (SELECT word, max(round) AS round FROM state GROUP BY word)
-SELECT s.word, list(s.id ORDER BY s.pos) AS ids, string_agg(v.hex, '' ORDER BY s.pos) AS hex
+SELECT s.word, string_agg(s.id, ',' ORDER BY s.pos) AS ids, count(*) AS n, string_agg(v.hex, '' ORDER BY s.pos) AS hex
 FROM state s JOIN last l ON l.word = s.word AND l.round = s.round JOIN vocabulary v ON v.id = s.id
 GROUP BY s.word
 """
@@ -88,10 +90,12 @@ class Encoder:
             for k in range(1, len(t))
             if t[:k] in ranks and t[k:] in ranks
         ]
+        self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self.pairs = {(a, b): r for a, b, r in rows}
         self.bytes = {r: t for t, r in ranks.items()}
-        cols = list(zip(*rows)) if rows else [[], [], []]
-        merges = pa.table({n: pa.array(c, pa.int32()) for n, c in zip(("a", "b", "merged"), cols)})
+        merges = pa.table(
+            {"pair": pa.array([(a << 32) + b for a, b, _ in rows], pa.int64()), "merged": pa.array([r for _, _, r in rows], pa.int32())}
+        )
         vocabulary = pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "hex": [t.hex() for t in ranks]})
         self.db.register("given_merges", merges)
         self.db.register("given_vocabulary", vocabulary)
@@ -122,17 +126,17 @@ class Encoder:
         mark = piece[:1]
         return piece[1:] if mark == "\x01" else "\n" + piece[1:] if mark == "\x00" else " " + piece
 
-    def words(self, words: list[str]) -> dict[str, tuple[list[int], bytes]]:
-        """(ids, decoded bytes) of distinct words of the pattern."""
-        out: dict[str, tuple[list[int], bytes]] = {}
+    def words(self, words: list[str]) -> dict[str, Encoded]:
+        """(ids, their number, decoded bytes) of distinct words of the pattern."""
+        out: dict[str, Encoded] = {}
         hard: list[tuple[str, bytes]] = []
         for w in words:
             raw = w.encode("utf-8", "surrogatepass")
             if raw in self.ranks:
-                out[w] = ([self.ranks[raw]], raw)
+                out[w] = (str(self.ranks[raw]), 1, raw)
             elif len(raw) > LONG_WORD:
                 ids = self._long(raw)
-                out[w] = (ids, b"".join(self.bytes[i] for i in ids))
+                out[w] = (",".join(map(str, ids)), len(ids), b"".join(self.bytes[i] for i in ids))
             else:
                 hard.append((w, raw))
         at = 0
@@ -141,8 +145,8 @@ class Encoder:
             while to < len(hard) and to - at < WORDS_AT_ONCE and (to == at or size + len(hard[to][1]) <= 16 * WORDS_AT_ONCE):
                 size += len(hard[to][1])
                 to += 1
-            for k, ids, text in self._contract([raw for _, raw in hard[at:to]]):
-                out[hard[at + k][0]] = (ids, bytes.fromhex(text))
+            for k, ids, n, text in self._contract([raw for _, raw in hard[at:to]]):
+                out[hard[at + k][0]] = (ids, n, bytes.fromhex(text))
             at = to
         return out
 
@@ -173,18 +177,20 @@ class Encoder:
             offer(before[k])
         return [i for i, own in zip(ids, live) if own]
 
-    def _contract(self, raws: list[bytes]) -> list[tuple[int, list[int], str]]:
-        byte_id = [self.ranks[bytes([b])] for b in range(256)]
-        word = [k for k, raw in enumerate(raws) for _ in raw]
-        pos = [i for raw in raws for i in range(len(raw))]
-        ids = [byte_id[b] for raw in raws for b in raw]
-        start = pa.table({"word": pa.array(word, pa.int32()), "pos": pa.array(pos, pa.int32()), "id": pa.array(ids, pa.int32())})
+    def _contract(self, raws: list[bytes]) -> list[tuple[int, str, int, str]]:
+        size = np.array([len(raw) for raw in raws])
+        first = np.cumsum(size) - size
+        ids = self.byte_ids[np.frombuffer(b"".join(raws), np.uint8)]
+        after = np.append(ids[1:], -1).astype(np.int32)
+        after[first + size - 1] = -1  # a word's last token has no neighbour
+        place = (np.arange(len(ids)) - np.repeat(first, size)).astype(np.int32)
+        start = pa.table({"word": np.repeat(np.arange(len(raws), dtype=np.int32), size), "pos": place, "id": ids, "next_id": after})
         self.db.register("start", start)
         found = self.db.execute(ENCODE).fetchall()
         self.db.unregister("start")
         return found
 
-    def learn(self, texts: list[str]) -> tuple[list[list[int]], dict[int, list[tuple[list[int], bytes]]]]:
+    def learn(self, texts: list[str]) -> tuple[list[list[int]], dict[int, list[Encoded]]]:
         """Codes of the pieces of every text, and for the texts without safe cuts their encoded words.
 
         All pieces and words that are new are encoded together.
@@ -204,11 +210,14 @@ class Encoder:
             self._add([found[w] for w in part])
         return coded, {k: [found[w] for w in part] for k, part in whole.items()}
 
-    def _add(self, parts: list[tuple[list[int], bytes]]) -> None:
-        ids = [i for p in parts for i in p[0]]
-        self.ids.append(",".join(map(str, ids)))
-        self.count.append(len(ids))
-        self.decoded.append(b"".join(p[1] for p in parts))
+    def _add(self, parts: list[Encoded]) -> None:
+        if len(parts) == 1:
+            ids, n, raw = parts[0]
+        else:
+            ids, n, raw = ",".join([p[0] for p in parts]), sum([p[1] for p in parts]), b"".join([p[2] for p in parts])
+        self.ids.append(ids)
+        self.count.append(n)
+        self.decoded.append(raw)
 
     def digests(self, texts: list[str]) -> list[tuple[int, str, str]]:
         """(n_tokens, digest of the ids, digest of the decoded bytes) of every text."""
@@ -220,8 +229,8 @@ class Encoder:
         for k, codes in enumerate(coded):
             if k in whole:
                 parts = whole[k]
-                named = ",".join(str(i) for p in parts for i in p[0])
-                n, raw = sum(len(p[0]) for p in parts), b"".join(p[1] for p in parts)
+                named = ",".join([p[0] for p in parts])
+                n, raw = sum([p[1] for p in parts]), b"".join([p[2] for p in parts])
             else:
                 named = ",".join([s for c in codes if (s := ids[c])])
                 n, raw = sum([count[c] for c in codes]), b"".join([decoded[c] for c in codes])
@@ -232,7 +241,7 @@ class Encoder:
         """The ids of one text."""
         words = self.find(text or "")
         found = self.words(list(dict.fromkeys(words)))
-        return [i for w in words for i in found[w][0]]
+        return [int(i) for w in words for i in found[w][0].split(",")]
 
     def decode(self, ids: list[int]) -> bytes:
         """The bytes of a list of ids, by one ordered aggregate over them and the vocabulary."""
