@@ -36,21 +36,37 @@ SCRIPT_SHARE = 1e-3
 #: Characters that the model is fitted on, and those of the longest text among them.
 TRAIN_CHARS = 4_000_000
 MAX_CHARS = 50_000
-SLICE = 250_000
+#: Characters whose words are scored at once, and whose paths are searched together.
+SLICE, GROUP = 250_000, 5_000_000
 
 
 @lru_cache(1)
-def _letters() -> np.ndarray:
-    """For each code point of the basic plane, the lower-case letter, or 0 for what is no letter; others: themselves."""
-    table = np.zeros(0x10000, np.uint32)
+def _letters() -> tuple[np.ndarray, np.ndarray]:
+    """For each code point of the basic plane the lower-case letter (marks: themselves, else 0), and whether it is a letter."""
+    table, letter = np.zeros(0x10000, np.uint32), np.zeros(0x10000, bool)
     for c in range(0x10000):
-        if 0xD800 <= c < 0xE000:
-            continue
-        ch = chr(c)
-        if unicodedata.category(ch)[0] in "LM":
-            low = ch.lower()
-            table[c] = ord(low) if len(low) == 1 else c
-    return table
+        table[c], letter[c] = _letter(c)
+    return table, letter
+
+
+@lru_cache(1 << 16)
+def _letter(c: int) -> tuple[int, bool]:
+    if 0xD800 <= c < 0xE000:
+        return 0, False
+    kind, low = unicodedata.category(chr(c))[0], chr(c).lower()
+    return (ord(low) if len(low) == 1 else c) if kind in "LM" else 0, kind == "L"
+
+
+def _slices(texts: list[str], most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of at most ``most`` characters, or of one longer text."""
+    at = 0
+    while at < len(texts):
+        to, size = at, 0
+        while to < len(texts) and (to == at or size + len(texts[to]) <= most):
+            size += len(texts[to])
+            to += 1
+        yield at, to
+        at = to
 
 
 def _codes(text: str) -> np.ndarray:
@@ -60,10 +76,19 @@ def _codes(text: str) -> np.ndarray:
 def _words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The letters of all texts with a 0 around each word; the words' starts and ends in them; the text of each word."""
     codes = _codes("\n" + "\n".join(texts) + "\n")
-    table = _letters()
-    low = np.where(codes < 0x10000, table[np.minimum(codes, 0xFFFF)], codes)
+    table, letter = _letters()
+    plain = np.minimum(codes, 0xFFFF)
+    low, own = table[plain], letter[plain]
+    high = np.flatnonzero(codes > 0xFFFF)
+    if len(high):
+        some, back = np.unique(codes[high], return_inverse=True)
+        found = np.array([_letter(int(c)) for c in some])
+        low[high], own[high] = found[back, 0], found[back, 1] > 0
     edge = np.diff((low > 0).astype(np.int8))
     starts, ends = np.flatnonzero(edge == 1) + 1, np.flatnonzero(edge == -1) + 1
+    counts = np.append(0, np.cumsum(own))
+    real = counts[ends] > counts[starts]  # marks alone make no word
+    starts, ends = starts[real], ends[real]
     first = np.cumsum([1, *(len(t) + 1 for t in texts)])
     return low, starts, ends, np.searchsorted(first, starts, "right") - 1
 
@@ -92,28 +117,37 @@ def viterbi(scores: np.ndarray, doc: np.ndarray, n_docs: int, switch: float) ->
     order = np.argsort(-sizes, kind="stable")
     sizes, first = sizes[order], first[:-1][order]
     live = np.searchsorted(-sizes, -np.arange(sizes[0] if len(sizes) else 0), "left")  # texts longer than t
-    stay = np.zeros((words, labels), bool)
+    # Words by their place in the text, then by the text's rank: each step works on one slice.
+    rank = np.empty(n_docs, np.int64)
+    rank[order] = np.arange(n_docs)
+    at = np.arange(words) - np.searchsorted(doc, doc, "left")
+    offset = np.cumsum(live) - live
+    to = offset[at] + rank[doc]
+    lined = np.empty_like(scores)
+    lined[to] = scores
+    stay = np.ones((words, labels), bool)
     best_before = np.zeros(words, np.int8)
     total = np.zeros((n_docs, labels))
     for t, n in enumerate(live):
-        at = first[:n] + t
+        before, s = total[:n], slice(offset[t], offset[t] + n)
         if t:
-            before = total[:n]
-            top = before.argmax(axis=1)
-            jump = before[np.arange(n), top][:, None] - switch
-            keep = before >= jump
-            stay[at], best_before[at] = keep, top
-            total[:n] = np.where(keep, before, jump)
-        total[:n] += scores[at]
-    out = np.zeros(words, np.int8)
-    state = total.argmax(axis=1)
+            jump = before.max(axis=1)[:, None] - switch
+            np.greater_equal(before, jump, out=stay[s])
+            best_before[s] = before.argmax(axis=1)
+            np.maximum(before, jump, out=before)
+        before += lined[s]
+    found = np.zeros(words, np.int8)
+    state = total.argmax(axis=1).astype(np.int8)
+    rows = np.arange(n_docs)
     for t in range(len(live) - 1, -1, -1):
-        n = live[t]
-        at = first[:n] + t
-        out[at] = state[:n]
+        n, s = live[t], slice(offset[t], offset[t] + live[t])
+        now = state[:n]
+        found[s] = now
         if t:
-            state[:n] = np.where(stay[at, state[:n]], state[:n], best_before[at])
-    return out
+            leave = ~stay[s][rows[:n], now]
+            if leave.any():
+                now[leave] = best_before[s][leave]
+    return found[to]
 
 
 class LanguageModel:
@@ -137,17 +171,12 @@ class LanguageModel:
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """The language of every text and a score from 0 to 1."""
         names, scores = ["und"] * len(texts), [0.0] * len(texts)
-        at = 0
-        while at < len(texts) and self.langs:
-            to, size = at, 0
-            while to < len(texts) and (to == at or size + len(texts[to] or "") <= SLICE):
-                size += len(texts[to] or "")
-                to += 1
-            for k, share in enumerate(self.shares([t or "" for t in texts[at:to]])):
+        texts = [t or "" for t in texts]
+        for at, to in _slices(texts, GROUP) if self.langs else ():
+            for k, share in enumerate(self.shares(texts[at:to])):
                 if share is not None:
                     best = int(share.argmax())
                     names[at + k], scores[at + k] = self.langs[best], float(share[best])
-            at = to
         return names, scores
 
     def spans(self, text: str | None) -> list[tuple[int, int, str]]:
@@ -161,10 +190,11 @@ class LanguageModel:
                 out.append((int(s), int(e), self.langs[k]))
         return out
 
-    def _label(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _scored(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(scores, text, letters) of each word of a slice of texts."""
         low, starts, ends, doc = _words(texts)
         if not len(starts):
-            return np.zeros(0, np.int8), doc, ends - starts
+            return np.zeros((0, len(self.langs))), doc, ends - starts
         bounds = np.empty(2 * len(starts), np.int64)
         bounds[0::2], bounds[1::2] = starts, ends
         bounds = np.minimum(bounds, len(low) - 1)
@@ -172,7 +202,13 @@ class LanguageModel:
         scores = np.add.reduceat(points, bounds, axis=0)[0::2].astype(np.float64)
         allowed = self.may[_script(low[starts])]
         scores[~allowed] -= 1e3
-        return viterbi(scores, doc, len(texts), SWITCH), doc, ends - starts
+        return scores, doc, ends - starts
+
+    def _label(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(label, text, letters) of each word: scores slice by slice, one path search over all of them."""
+        parts = [(at, self._scored(texts[at:to])) for at, to in _slices(texts, SLICE)]
+        scores, doc, size = (np.concatenate(x) for x in zip(*[(s, d + at, n) for at, (s, d, n) in parts]))
+        return viterbi(scores, doc, len(texts), SWITCH), doc, size
 
     def guess(self, texts: list[str]) -> np.ndarray:
         """The best language of each text as a whole, by number (0 without letters)."""

@@ -85,7 +85,8 @@ def test_spans_of_mixed_text_and_scripts():
     text = "the dog and the cat with that this собака и кот это все the"
     spans = m.spans(text)
     assert [s[2] for s in spans][:2] == ["en", "ru"] and text[spans[0][0] : spans[0][1]] == "the dog and the cat with that this"
-    assert m.predict([None, "", "123 !!", "и"])[0] == ["und", "und", "und", "ru"]
+    texts = [None, "", "123 !!", "и", "\U0001f600 \U0001f44d", "\u0301\u0302 1", "e\u0301 the \U0001f600", "\U00010400 the"]
+    assert m.predict(texts)[0] == ["und", "und", "und", "ru", "und", "und", "en", "en"]
 
 
 def test_texts_score_alike_alone_and_together():
