@@ -2,7 +2,8 @@
 
 The merge table holds every pair of vocabulary entries whose bytes join to another entry, with that entry's
 rank. A recursive query starts from one row for each byte of each distinct word, joins neighbouring tokens with
-the merge table, contracts each word's leftmost pair of least rank and goes on until no word has a pair. An
+the merge table, contracts each word's leftmost pair of least rank and goes on until no word has a pair (a pair's
+rank is looked up again only where a contraction made a new pair). An
 ordered aggregate turns the rows into token ids, another one joins them with the vocabulary's bytes and
 decodes. Each partition encodes a word once for a stretch of documents; words never leave the partition.
 
@@ -29,11 +30,11 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 
 #: Distinct words that one recursive query takes, and characters of documents that wait for it.
-WORDS_AT_ONCE = 60_000
-CHARS_AT_ONCE = 16_000_000
+WORDS_AT_ONCE = 50_000
+CHARS_AT_ONCE = 18_000_000
 #: Words that a worker keeps from one stretch to the next.
-KEPT_PIECES = 500_000
-MEMORY = "350MB"
+KEPT_PIECES = 200_000
+MEMORY = "250MB"
 #: Words of more bytes are contracted with a heap: rounds over all tokens of a word are quadratic in its length.
 LONG_WORD = 200
 #: The ids of a word, joined by commas, their number, and the bytes they decode to.
@@ -42,27 +43,26 @@ ODD_SPACE = regex.compile(r"[^\S \n]")
 
 ENCODE = """
 WITH RECURSIVE state AS (
-  SELECT a.word, a.pos, a.pos + 1 AS after, a.id, a.next_id, 0 AS round
-  FROM start a
+  SELECT a.word, a.pos, a.pos + 1 AS after, a.id, a.next_id, m.merged AS rk, 0 AS round
+  FROM start a LEFT JOIN merges m ON m.pair = a.id::BIGINT * 4294967296 + a.next_id
   UNION ALL
   (
-  WITH ranked AS (
-    SELECT s.word, min(m.merged::BIGINT * 65536 + s.pos * 256 + s.after) AS pick
-    FROM state s JOIN merges m ON m.pair = s.id::BIGINT * 4294967296 + s.next_id
-    GROUP BY s.word
-  ), pick AS (
-    SELECT word, (pick // 256 % 256)::INTEGER AS pos, (pick // 65536)::INTEGER AS merged, (pick % 256)::INTEGER AS after FROM ranked
+  WITH pick AS (
+    SELECT word, k % 256 AS after, k // 256 % 256 AS pos, k // 65536 AS merged
+    FROM (SELECT word, min(rk::BIGINT * 65536 + pos * 256 + after) AS k FROM state WHERE rk IS NOT NULL GROUP BY word)
   ), chosen AS (
-    SELECT p.word, p.pos, p.merged, p.after AS gone, g.after AS after, g.next_id
+    SELECT p.word, p.pos::INTEGER AS pos, p.merged::INTEGER AS merged, p.after::INTEGER AS gone, g.after AS after, g.next_id
     FROM pick p JOIN state g ON g.word = p.word AND g.pos = p.after
-  )
+  ), next AS (
   SELECT s.word, s.pos,
-    CASE WHEN s.pos = c.pos THEN c.after ELSE s.after END,
-    CASE WHEN s.pos = c.pos THEN c.merged ELSE s.id END,
-    CASE WHEN s.pos = c.pos THEN c.next_id WHEN s.after = c.pos THEN c.merged ELSE s.next_id END,
-    s.round + 1
+    CASE WHEN s.pos = c.pos THEN c.after ELSE s.after END AS after,
+    CASE WHEN s.pos = c.pos THEN c.merged ELSE s.id END AS id,
+    CASE WHEN s.pos = c.pos THEN c.next_id WHEN s.after = c.pos THEN c.merged ELSE s.next_id END AS next_id,
+    s.pos = c.pos OR s.after = c.pos AS fresh, s.rk, s.round + 1 AS round
   FROM state s JOIN chosen c ON c.word = s.word
-  WHERE s.pos <> c.gone
+  WHERE s.pos <> c.gone)
+  SELECT n.word, n.pos, n.after, n.id, n.next_id, CASE WHEN fresh THEN m.merged ELSE n.rk END, n.round
+  FROM next n LEFT JOIN merges m ON m.pair = CASE WHEN fresh THEN n.id::BIGINT * 4294967296 + n.next_id END
   )
 ), last AS (SELECT word, max(round) AS round FROM state GROUP BY word)
 SELECT s.word, string_agg(s.id, ',' ORDER BY s.pos) AS ids, count(*) AS n, string_agg(v.hex, '' ORDER BY s.pos) AS hex
@@ -77,6 +77,14 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
+class Codes(dict):
+    """Numbers for keys in the order of their first use."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = code = len(self)
+        return code
+
+
 class Encoder:
     """The merge table in a DuckDB database of its own, and the pieces that were encoded last."""
 
@@ -106,7 +114,7 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.code: dict[str, int] = {}
+        self.code = Codes()
         self.odd: set[int] = set()
         self.ids: list[str] = []
         self.count: list[int] = []
@@ -197,7 +205,7 @@ class Encoder:
         """
         code, coded = self.code, []
         for text in texts:
-            coded.append([code.setdefault(p, len(code)) for p in self.pieces(text) or ()])
+            coded.append(list(map(code.__getitem__, self.pieces(text) or ())))
         start = len(self.ids)
         spelled = [self.spelled(p) for p in itertools.islice(code, start, None)]
         if ODD_SPACE.search("".join(spelled)):
@@ -232,8 +240,9 @@ class Encoder:
                 named = ",".join([p[0] for p in parts])
                 n, raw = sum([p[1] for p in parts]), b"".join([p[2] for p in parts])
             else:
-                named = ",".join([s for c in codes if (s := ids[c])])
-                n, raw = sum([count[c] for c in codes]), b"".join([decoded[c] for c in codes])
+                some = codes if count[codes[0]] else codes[1:]  # only a text's first piece can be empty
+                named = ",".join(map(ids.__getitem__, some))
+                n, raw = sum(map(count.__getitem__, some)), b"".join(map(decoded.__getitem__, some))
             out.append((n, hashlib.sha256(named.encode()).hexdigest(), hashlib.sha256(raw).hexdigest()))
         return out
 
@@ -290,6 +299,7 @@ def encoded_digests(
                     held, size = [], 0
         if held:
             yield flush()
+        own.clear()  # other stages may run in this worker next
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
