@@ -1,41 +1,37 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Seeds are the word trigrams of the benchmark items. One pass over the corpus emits, for each document and
-item that share seeds, the stretch of the document around them. The document frequency of every seed is
-counted over the whole corpus; a stretch with few shared seeds goes on only if one of them is rare, one with
-several goes on however frequent they are (a benchmark passage may itself be copied into many documents).
-Every stretch that goes on is aligned with its item word by word (match 2, mismatch and gap -1), and the score
-is the best local alignment as a share of the item's own.
+Seeds are the word trigrams of the benchmark items. One pass over the corpus finds, for each document and
+item that share seeds, the stretch of the document around them. An alignment scores 2 at most for each word
+that stretch and item have in common (counted as often as both have it), so a stretch whose common words are
+too few for the threshold is left out without loss. Every other one is aligned with its item word by word
+(match 2, mismatch and gap -1), and the score is the best local alignment as a share of the item's own. How
+many other documents hold a passage decides nothing.
 
 The benchmark is met in blocks of a bounded size, one pass over the corpus for each, so what is broadcast
 never grows beyond a block.
 
 Defined results: null, empty or word-free texts and items match nothing; items of fewer than three words use
-their whole word sequence as the seed; repeated rows give the same (doc_id, item_id) once, with the best score.
+their whole word sequence as the seed; repeated rows give the same (doc_id, item_id) once, with the best score, and an
+item_id with several texts is matched by each of them.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import cut
-
 WORD = re.compile(r"\w+")
 SEED_WORDS = 3
 BLOCK_BYTES = 8 << 20
-#: A stretch with this many different seeds needs no rare one.
-SURE_SEEDS = 3
-#: A seed is rare if at most this share of the documents has it (and always in up to RARE_LEAST documents).
-RARE_SHARE = 1e-4
-RARE_LEAST = 20
 THRESHOLD = 0.5
-HITS = "doc_id long, item_id long, seeds array<long>, words string"
+#: Pairs of stretch and item that are aligned at once.
+ALIGN_PAIRS = 4096
+FOUND = "doc_id long, item_id long, score double, seeds long"
 
 
 def words_of(text: str | None) -> list[str]:
@@ -43,10 +39,13 @@ def words_of(text: str | None) -> list[str]:
 
 
 class Seeds:
-    """The seeds of a block of items: a vocabulary, sorted seed keys and the items of each key."""
+    """The seeds of a block of items: a vocabulary, sorted seed keys and the items (by position) of each key."""
 
     def __init__(self, items: list[tuple[int, str | None]]):
-        self.words = {i: w for i, t in items if (w := words_of(t))}
+        known = [(i, w) for i, t in items if (w := words_of(t))]
+        self.ids = [i for i, _ in known]
+        self.words = dict(enumerate(w for _, w in known))
+        self.counts = {i: Counter(w) for i, w in self.words.items()}
         self.vocab: dict[str, int] = {}
         found = []
         for i, words in self.words.items():
@@ -83,8 +82,14 @@ class Seeds:
         ok = self.keys[np.minimum(there, len(self.keys) - 1)] == key
         return pos[ok], key[ok]
 
-    def stretches(self, words: list[str]) -> Iterator[tuple[int, list[int], str]]:
-        """(item, its seeds, the words around them) for each stretch of a document that shares seeds with an item."""
+    def bound(self, item: int, words: list[str]) -> float:
+        """No alignment of the item with these words scores more: the words in common as a share of the item's."""
+        own = self.counts[item]
+        there = Counter(w for w in words if w in own)
+        return sum(min(n, own[w]) for w, n in there.items()) / len(self.words[item])
+
+    def stretches(self, words: list[str]) -> Iterator[tuple[int, int, list[str]]]:
+        """(item, number of its seeds, the words around them) for each stretch of a document that shares seeds with an item."""
         pos, key = self.hits(words)
         by_item: dict[int, list[tuple[int, int]]] = {}
         for p, k in zip(pos.tolist(), key.tolist()):
@@ -99,7 +104,7 @@ class Seeds:
                     group.append(hit)
                     continue
                 lo, hi = max(0, group[0][0] - size), group[-1][0] + size + SEED_WORDS
-                yield i, sorted({k for _, k in group}), " ".join(words[lo:hi])
+                yield i, len({k for _, k in group}), words[lo:hi]
                 group = [hit]
 
 
@@ -151,48 +156,44 @@ def contaminated(
     items = items.where("item_id is not null").groupBy("item_id", "text").count().drop("count")
     total = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     blocks = max(1, -(-2 * total // BLOCK_BYTES))
-    rare = max(RARE_LEAST, int(RARE_SHARE * texts.count()))
     found = None
     for block in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block)
-        one = _block(spark, texts, Seeds([(r.item_id, r.text) for r in part.collect()]), rare, threshold)
+        one = _block(spark, texts, Seeds([(r.item_id, r.text) for r in part.collect()]), threshold)
         found = one if found is None else found.union(one)
     best = F.max(F.struct("score", "seeds")).alias("best")
     return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.score", "best.seeds")
 
 
-def _block(spark, texts: DataFrame, seeds: Seeds, rare: int, threshold: float) -> DataFrame:
+def _block(spark, texts: DataFrame, seeds: Seeds, threshold: float) -> DataFrame:
     held = spark.sparkContext.broadcast(seeds)
 
+    def aligned(some: list[tuple[int, int, int, list[str]]]) -> pa.RecordBatch:
+        """What scores enough of (doc_id, item, seeds, words)."""
+        items = held.value
+        pairs = [(items.words[i], words) for _, i, _, words in some]
+        rows = [
+            (doc, items.ids[i], score, n)
+            for (doc, i, n, _), own, (item, _) in zip(some, alignments(pairs), pairs)
+            if (score := own / (2 * len(item))) >= threshold
+        ]
+        cols = list(zip(*rows)) if rows else [[], [], [], []]
+        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "item_id", "score", "seeds"])
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some = []
         for batch in batches:
-            rows = [
-                (d.as_py(), *hit)
-                for d, t in zip(batch.column(0), batch.column(1))
-                for hit in held.value.stretches(words_of(t.as_py()))
-            ]
-            cols = list(zip(*rows)) if rows else [[], [], [], []]
-            kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.string()]
-            arrays = [pa.array(c, k) for c, k in zip(cols, kinds)]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "item_id", "seeds", "words"])
-
-    hits = cut(texts.mapInArrow(scan, HITS))
-    seen = hits.select("doc_id", F.explode("seeds").alias("seed")).distinct()
-    # No more rows than the block has seeds.
-    common = [r.seed for r in seen.groupBy("seed").count().where(F.col("count") > rare).select("seed").collect()]
-    frequent = spark.sparkContext.broadcast(frozenset(common))
-
-    def align(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            own = [len(s) >= SURE_SEEDS or any(k not in frequent.value for k in s) for s in f["seeds"]]
-            f = f[np.array(own, bool)]
-            pairs = [(held.value.words[i], w.split(" ")) for i, w in zip(f["item_id"], f["words"])]
-            scores = [s / (2 * len(p[0])) for s, p in zip(alignments(pairs), pairs)]
-            out = pd.DataFrame({"doc_id": f["doc_id"], "item_id": f["item_id"], "score": scores})
-            out["seeds"] = [len(s) for s in f["seeds"]]
-            yield out[out["score"] >= threshold] if len(out) else out.astype({"score": float, "seeds": int})
-
-    return hits.mapInPandas(align, "doc_id long, item_id long, score double, seeds long")
+            for d, t in zip(batch.column(0), batch.column(1)):
+                for i, n, words in held.value.stretches(words_of(t.as_py())):
+                    if held.value.bound(i, words) >= threshold:
+                        some.append((d.as_py(), i, n, words))
+                if len(some) >= ALIGN_PAIRS:
+                    yield aligned(some)
+                    some = []
+        yield aligned(some)
+
+    return texts.mapInArrow(scan, FOUND)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

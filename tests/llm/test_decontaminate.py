@@ -64,3 +64,30 @@ def test_odd_rows(spark):
     assert left.columns == odd(spark).columns and sorted(r.doc_id or -1 for r in left.collect()) == [-1, 1, 2, 3, 4]
     assert dc.contaminated(empty(spark), items).count() == 0
     assert dc.contaminated(odd(spark), bench(spark, [])).count() == 0
+
+
+def test_copies_count_however_many_documents_hold_them(spark):
+    r = random.Random(8)
+    item = [f"w{k}" for k in range(15)]
+    edited = [w if k in (2, 3, 4, 7, 8, 11, 12, 14, 0, 6) else "other" for k, w in enumerate(item)]  # one trigram is left
+    docs = [(k, "alpha beta gamma " + " ".join(f"n{r.randrange(999)}" for _ in range(20))) for k in range(60)]
+    docs += [(k, " ".join(edited)) for k in range(60, 120)]
+    docs += [(k, "w2 w3 w4 " + " ".join(f"n{r.randrange(999)}" for _ in range(20))) for k in range(120, 130)]
+    items = bench(spark, [(1, "Alpha beta gamma", 0), (2, " ".join(item), 0)])
+    found = {(x.doc_id, x.item_id): x.score for x in dc.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), items, threshold=0.4).collect()}
+    whole, part = slow(["alpha", "beta", "gamma"], docs[0][1].split()) / 6, slow(item, edited) / 30
+    assert whole == 1.0 and part >= 0.4
+    assert found == {(k, 1): whole for k in range(60)} | {(k, 2): part for k in range(60, 120)}
+
+
+def test_an_item_id_with_two_texts_is_matched_by_both(spark):
+    docs = spark.createDataFrame([(1, "one two three four five"), (2, "six seven eight nine ten")], "doc_id long, text string")
+    items = bench(spark, [(7, "one two three four five", 0), (7, "six seven eight nine ten", 0)])
+    assert {(r.doc_id, r.item_id) for r in dc.contaminated(docs, items).collect()} == {(1, 7), (2, 7)}
+
+
+def test_no_alignment_beats_the_bound():
+    r = random.Random(9)
+    for _ in range(200):
+        item, text = [r.choice("abcd") for _ in range(r.randint(1, 12))], [r.choice("abcde") for _ in range(r.randint(1, 20))]
+        assert dc.Seeds([(1, " ".join(item))]).bound(0, text) >= slow(item, text) / (2 * len(item))
