@@ -17,6 +17,11 @@ def windowed_counts(events: DataFrame, key: str, ts: str, width: str) -> DataFra
     return rows.groupBy(F.col(key).alias("key"), F.window(ts, width).alias("w")).agg(F.count("*").alias("n")).select("key", "w.start", "n")
 
 
+def _is_folder(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getFileStatus(at).isDirectory()
+
+
 def run_stream(spark: SparkSession, path: str, key: str, ts: str, width: str) -> DataFrame:
     """The stream over the Parquet files of ``path`` as it stands, with its last rows for each window.
 
@@ -25,8 +30,10 @@ def run_stream(spark: SparkSession, path: str, key: str, ts: str, width: str) ->
     schema = spark.read.parquet(path).schema
     cut(spark.range(1))  # sets the shared folder where none is
     root = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
-    source = path.rpartition("/")
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", source[2]).parquet(source[0] + "/")
+    stream = spark.readStream.schema(schema)
+    parent, _, name = path.rstrip("/").rpartition("/")
+    # A stream reads folders only: a table of part files is one, a single file is picked in its parent by name.
+    stream = stream.parquet(path) if _is_folder(spark, path) else stream.option("pathGlobFilter", name).parquet(parent + "/")
     out = windowed_counts(stream.withColumn(ts, F.col(ts).cast("timestamp")), key, ts, width)
     done = (
         out.writeStream.outputMode("update")

@@ -117,3 +117,17 @@ def test_running_totals_over_ranges(spark):
 def test_empty_tables(spark):
     inc = spark.createDataFrame([], "hg long, e int, v int")
     assert hg.components(inc).count() == 0 and hg.xi(inc, 2).count() == 0 and words.encode(inc).count() == 0
+
+
+@pytest.mark.parametrize("parts", [1, 4])
+def test_stream_equals_batch_over_a_folder_of_part_files(spark, tmp_path, parts):
+    import datetime
+
+    from hyperweave.streaming.windows import run_stream, windowed_counts
+
+    rows = [(k % 3, datetime.datetime(2024, 1, 1 + k % 5, k % 24)) for k in range(40)]
+    path = f"file://{tmp_path}/events.parquet"
+    spark.createDataFrame(rows, "user_id long, ts timestamp").repartition(parts).write.parquet(path)
+    want = {tuple(r) for r in windowed_counts(spark.read.parquet(path), "user_id", "ts", "1 day").collect()}
+    got = {(r.key, r.start, r.n) for r in run_stream(spark, path, "user_id", "ts", "1 day").collect()}
+    assert got == want and len(want) > 5
