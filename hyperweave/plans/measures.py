@@ -274,6 +274,14 @@ def pair_levenshtein(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nb.in_blocks(queries, words).select("i", "j", F.levenshtein("a", "b").alias("d"))
 
 
+@query("SELECT q.s_suppkey AS i, x.p_partkey AS j, CAST(levenshtein(q.s_name, x.p_brand || x.p_type) AS INTEGER) AS d FROM supplier q JOIN part x ON TRUE WHERE q.s_suppkey % 100 = 0")
+def pair_levenshtein_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edit distances of whole query names against all whole part words; pair_levenshtein has their first 12 characters only."""
+    queries = table(spark, sf_dir, "supplier").where("s_suppkey % 100 = 0").select(F.col("s_suppkey").alias("i"), F.col("s_name").alias("a"))
+    words = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("j"), F.concat("p_brand", "p_type").alias("b"))
+    return nb.in_blocks(queries, words).select("i", "j", F.levenshtein("a", "b").alias("d"))
+
+
 @query(
     "WITH g AS (SELECT lang, count(*) AS n, count(*) FILTER (quality = 1) AS good FROM documents JOIN labels USING (doc_id) GROUP BY lang) "
     "SELECT lang, n, good, round((good + 1.9208) / (n + 3.8416) - 1.96 * sqrt(good * (n - good)::DOUBLE / n + 0.9604) / (n + 3.8416), 6) AS low, "

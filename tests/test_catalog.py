@@ -54,3 +54,11 @@ def test_isomorphism_classes_cover_all_records(spark, sf_dir):
     found = catalog.queries()["isomorphism_classes"](spark, sf_dir).collect()
     assert sum(r.members for r in found) == event_incidence(spark, sf_dir).select("hg").distinct().count()
     assert len({r.word for r in found}) == len(found) and all(r.word for r in found)
+
+
+def test_whole_names_tell_suppliers_apart(spark, tmp_path):
+    names = [(100 * k, f"Supplier#{100 * k:09d}") for k in range(1, 11)]
+    spark.createDataFrame(names, "s_suppkey long, s_name string").write.parquet(f"file://{tmp_path}/supplier.parquet")
+    spark.createDataFrame([(1, "Supplier#0000", "00100")], "p_partkey long, p_brand string, p_type string").write.parquet(f"file://{tmp_path}/part.parquet")
+    found = catalog.queries()["pair_levenshtein_whole"](spark, f"file://{tmp_path}").collect()
+    assert {r.i: r.d for r in found} == {100 * k: 0 if k == 1 else 2 if k == 10 else 1 for k in range(1, 11)}
