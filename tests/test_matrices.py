@@ -78,3 +78,15 @@ def test_edit_distance_table(spark):
     rows = [(1, 2, [0, 0], [(0, [0, 1])], [0, 0, 0], [(0, [0, 1, 2])]), (1, 3, [], [], [], [])]
     got = {r.b: (r.exact, r.censored) for r in ed.edit_distances(spark.createDataFrame(rows, kind)).collect()}
     assert got == {2: (2.0, False), 3: (0.0, False)}
+
+
+def test_medoids_and_outliers_take_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(mx, "BLOCK_ROWS", 300, raising=False)
+    x = np.vstack([points(640, 3), points(60, 3, 2) * 0.01 + 8, [[9.0, 9.0, 9.0]]])  # more rows than landmarks
+    x[100:130] = x[100]  # copies
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "id long, v array<double>")
+    got = {r.id: r for r in mx.placed(df.repartition(3), "id", "v", 4, 10).collect()}
+    assert len(got) == len(x) and np.allclose([got[i].lof for i in range(len(x))], mx.lof(d, 10), rtol=1e-6)
+    chosen, cost = mx.k_medoids(d, 4)
+    assert np.isclose(sum(r.distance for r in got.values()), cost, rtol=1e-6) and {r.medoid for r in got.values()} == set(chosen.tolist())
