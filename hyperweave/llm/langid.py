@@ -264,7 +264,12 @@ def identify(
 
 
 def known(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows whose language can't be told (null texts and texts without a letter)."""
+    """``docs`` without the rows whose language can't be told (null texts and texts without a letter).
+
+    A model that has learned no language can't tell any, so all rows stay.
+    """
+    if not model.langs:
+        return docs
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(model)
 

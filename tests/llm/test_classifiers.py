@@ -112,3 +112,7 @@ def test_odd_rows(spark):
     assert got[1] == got[2] == got[3] == ("und", 0.0) and got[4] == ("en", 1.0)
     assert sorted(r.doc_id or -1 for r in langid.known(odd(spark), m).collect()) == [-1, 4, 5, 5, 6]
     assert langid.identify(odd(spark), langid.fit(empty(spark))).where("lang_pred <> 'und'").count() == 0
+
+
+def test_no_language_learned_keeps_all_documents(spark):
+    assert langid.known(odd(spark), langid.fit(empty(spark))).count() == odd(spark).count() > 0
