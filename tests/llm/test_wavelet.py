@@ -1,3 +1,4 @@
+import io
 import zlib
 
 import numpy as np
@@ -20,8 +21,9 @@ TEXTS = [
 @given(st.lists(st.integers(0, 70_000), max_size=80))
 def test_matrix(values):
     data = np.array(values, np.uint32)
-    m, ids, starts = wv.unpack(wv.pack(data, [3, None], np.array([0, len(values)])))
-    assert m.values().tolist() == values and ids == [3, None]
+    shard = wv.Shard(io.BytesIO(wv.pack(data, [3, None], np.array([0, len(values)]))))
+    m, (ids, starts) = shard.matrix, shard.documents()
+    assert m.values().tolist() == values and ids == [3, None] and starts.tolist() == [0, len(values)]
     for i, v in enumerate(values):
         assert m.access(i) == v
     for v in set(values[:5]) | {1}:
@@ -31,6 +33,20 @@ def test_matrix(values):
         assert m.count(v, 2, max(2, len(values) - 1)) == values[2 : max(2, len(values) - 1)].count(v)
 
 
+def test_large_matrix_reads_parts_only():
+    data = np.random.default_rng(1).integers(0, 50_000, 1_500_000).astype(np.uint16) ** 2 % 49_000
+    shard = wv.Shard(io.BytesIO(wv.pack(data, [1], np.array([0]))))
+    m, frames = shard.matrix, len(shard._ends) - 1
+    for pos in (0, 511, 512, 65_535, 65_536, 524_288, 1_499_999):
+        assert m.access(pos) == data[pos]
+    value = int(data[700_000])
+    where = np.flatnonzero(data == value)
+    assert m.count(value) == len(where) and m.occurrences(value) == where.tolist()
+    assert m.count(value, 1000, 900_000) == ((where >= 1000) & (where < 900_000)).sum()
+    fresh = wv.Shard(io.BytesIO(wv.pack(data, [1], np.array([0]))))
+    assert fresh.matrix.access(9) == data[9] and fresh.unpacked <= 3 * len(m.planes) < frames
+
+
 def test_ids_equal_the_library():
     own, lib = wv.word_encoder(PATH), Tokenizer.from_file(PATH)
     tokens, starts = own.encode(TEXTS)
