@@ -3,19 +3,62 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+#: A key is hot if it holds more than one in so many rows; so many keys are hot at most.
+HOT_SHARE = 1000
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share: ``spark.checkpoint.dir``. Only a local session may leave it unset."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(found)
+    return found
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Compute once and go on from files all executors share (``spark.checkpoint.dir``, or a new folder where unset)."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        given = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(given or "file://" + tempfile.mkdtemp(prefix="spark-shared-"))
+    """Write ``df`` to the shared folder and go on from there: computed once, and safe from lost executors."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``cut`` by a table in the shared folder: loops go on from it without what is known of the plan so far, which
+    a checkpoint keeps and which grows from round to round."""
+    path = f"{shared_dir(df.sparkSession)}/state-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def hot_keys(rows: DataFrame, keys: list[str]) -> DataFrame | None:
+    """The keys that hold more than one in HOT_SHARE rows (so HOT_SHARE of them at most), None if there are none."""
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+    total = rows.count()
+    found = counts.where(F.col("_n") > total / HOT_SHARE).select(*keys).collect()
+    return rows.sparkSession.createDataFrame(found, counts.select(*keys).schema) if found else None
+
+
+def look_up(rows: DataFrame, keys: list[str], table: DataFrame, hot: DataFrame | None, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``table``, which has one row for each key.
+
+    The rows of hot keys meet a broadcast copy of the table's rows for them, HOT_SHARE at most, where they are; all
+    others are dealt out by key, so no task gets more than a small share of the rows for one key.
+    """
+    if hot is None:
+        return rows.join(table, keys, how)
+    few = F.broadcast(hot)
+    known = F.broadcast(table.join(few, keys, "left_semi"))
+    there = rows.join(few, keys, "left_semi").join(known, keys, how)
+    return there.unionByName(rows.join(few, keys, "left_anti").join(table, keys, how))
+
+
 def running(df: DataFrame, order: list[str], sums: dict[str, str]) -> DataFrame:
     """``df`` with, for each ``name: column`` of ``sums``, the sum of the column over this row and all before it.
 

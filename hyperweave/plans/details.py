@@ -64,13 +64,13 @@ def incidence_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "WITH i AS (SELECT user_id AS grp, day(ts) AS member, event_type AS pattern FROM events), m AS (SELECT grp, count(DISTINCT member) AS members FROM i GROUP BY grp), c AS (SELECT grp, member, pattern, count(*) AS c FROM i GROUP BY ALL), "
+    "WITH i AS (SELECT user_id AS grp, CAST(ts AS DATE) AS member, event_type AS pattern FROM events), m AS (SELECT grp, count(DISTINCT member) AS members FROM i GROUP BY grp), c AS (SELECT grp, member, pattern, count(*) AS c FROM i GROUP BY ALL), "
     "t AS (SELECT a.grp, a.pattern, x.c, count(*) AS have FROM c a JOIN (SELECT DISTINCT grp, pattern, c FROM c) x ON x.grp = a.grp AND x.pattern = a.pattern AND a.c >= x.c GROUP BY ALL) "
     "SELECT grp, pattern, max(c) AS copies FROM t JOIN m USING (grp) WHERE 2 * have > members GROUP BY grp, pattern"
 )
 def pattern_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many events of a kind most of a user's days have."""
-    items = table(spark, sf_dir, "events").select(F.col("user_id").alias("grp"), F.dayofmonth("ts").alias("member"), F.col("event_type").alias("pattern"))
+    items = table(spark, sf_dir, "events").select(F.col("user_id").alias("grp"), F.to_date("ts").alias("member"), F.col("event_type").alias("pattern"))
     return keys.pattern_vote(items)
 
 

@@ -9,6 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
+#: More days than a record's key has to tell apart: those of 270 years from 1970 on.
+DAYS = 100_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -30,7 +34,7 @@ def customer_incidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 def event_incidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A knowledge base for each user and day: hours are facts, kinds of event are constants."""
     return table(spark, sf_dir, "events").select(
-        (F.col("user_id") * 32 + F.dayofmonth("ts")).alias("hg"),
+        (F.col("user_id") * DAYS + F.datediff(F.to_date("ts"), F.lit("1970-01-01"))).alias("hg"),
         F.col("user_id"),
         F.to_date("ts").alias("day"),
         F.hour("ts").alias("e"),
@@ -45,6 +49,6 @@ CUSTOMER_SQL = (
     "FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
 )
 EVENT_SQL = (
-    "inc AS (SELECT DISTINCT user_id * 32 + day(ts) AS hg, user_id, CAST(ts AS DATE) AS day, hour(ts) AS e, "
+    "inc AS (SELECT DISTINCT user_id * 100000 + (CAST(ts AS DATE) - DATE '1970-01-01') AS hg, user_id, CAST(ts AS DATE) AS day, hour(ts) AS e, "
     "event_type AS v FROM events)"
 )
