@@ -1,26 +1,19 @@
-"""What several operators share: the shared folder, checkpoints, splits and components."""
+"""What several operators share: the shared folder, checkpoints, splits, row keys and components."""
 
 from __future__ import annotations
 
-import tempfile
+from pyspark.sql import Column, DataFrame, functions as F
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from hyperweave.functions.state import cut, shared_dir
+from hyperweave.operators.components import linked
 
+__all__ = ["components", "cut", "fold", "in_fold", "labelled_sample", "row_key", "shared_dir", "stable_order"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session, or a new one where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(found)
-    return found
 
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and go on from there: computed once, and safe from lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def row_key(id_col: str, text_col: str) -> list[Column]:
+    """What tells rows apart by id and text, without nulls: whether there is an id, the id, and the text's hash."""
+    number = F.col(id_col).cast("long")
+    return [number.isNull().alias("_none"), F.coalesce(number, F.lit(0)).alias("_id"), F.xxhash64(text_col).alias("_hash")]
 
 
 def fold(col: str, parts: int):
@@ -42,40 +35,23 @@ def labelled_sample(
 ) -> list[tuple[str, int]]:
     """About ``max_docs`` labelled texts outside the held-out fold, none beyond ``max_chars``, picked by a hash of the id.
 
-    Null labels and null texts teach nothing. The sample is bounded by its two parameters.
+    Null labels and null texts teach nothing; of texts that share an id the least is taken. The sample is bounded by
+    its two parameters.
     """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~in_fold("doc_id", parts, held_out))
     known = known.groupBy(F.col("doc_id").alias("_id")).agg(F.max(label).alias("_label"))
     share = max_docs / max(1, known.count())
     known = known.where(F.pmod(stable_order("_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
     texts = docs.where(F.length("text") <= max_chars).select(F.col("doc_id"), "text")
-    rows = texts.join(F.broadcast(known), texts.doc_id == known._id).select("_id", "text", "_label").collect()
+    picked = texts.join(F.broadcast(known), texts.doc_id == known._id).groupBy("_id", "_label").agg(F.min("text").alias("text"))
+    rows = picked.collect()
     rows.sort(key=lambda r: (r._id, r.text))
     return [(r.text, int(r._label)) for r in rows]
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """Connected components of undirected links: one row (node, comp) for each node that has a link.
+    """Connected components of undirected links: one row (node, comp) for each node that is linked with another one.
 
-    ``comp`` is the smallest node reachable. Every round takes the smallest label among a node's
-    neighbours and then follows labels of labels twice, so a round passes more than one hop on.
-    All state stays in tables; only the number of changed rows reaches the driver.
+    ``comp`` is the smallest node reachable. All state stays in tables of the shared folder.
     """
-    one = links.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v")
-    both = cut(one.union(one.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    labels = both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m"))
-    labels = cut(labels.select("node", F.least("node", "m").alias("comp")))
-    while True:
-        near = both.join(labels, both.v == labels.node).groupBy("u").agg(F.min("comp").alias("m"))
-        new = labels.join(near, labels.node == near.u, "left").select(
-            "node", F.least("comp", F.coalesce("m", "comp")).alias("comp"), F.col("comp").alias("old")
-        )
-        new = cut(new)
-        for _ in range(2):
-            to = new.select(F.col("node").alias("t"), F.col("comp").alias("next"))
-            new = new.join(to, new.comp == to.t).select("node", F.col("next").alias("comp"), "old")
-            new = cut(new)
-        changed = new.where("comp <> old").limit(1).count()
-        labels = new.select("node", "comp")
-        if not changed:
-            return labels
+    return linked(links.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")))

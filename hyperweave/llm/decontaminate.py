@@ -10,7 +10,10 @@ many other documents hold a passage decides nothing.
 The benchmark is met in blocks of a bounded size, one pass over the corpus for each, so what is broadcast
 never grows beyond a block.
 
-Defined results: null, empty or word-free texts and items match nothing; items of fewer than three words use
+Words are runs of letters and digits; of scripts written without blanks (Han, kana, Thai, Lao, Khmer, Burmese) each
+character is a word, so that their copies and edits are seen too.
+
+Defined results: null, empty or word-free texts and items match nothing, nor do items without an item_id; items of fewer than three words use
 their whole word sequence as the seed; repeated rows give the same (doc_id, item_id) once, with the best score, and an
 item_id with several texts is matched by each of them.
 """
@@ -25,17 +28,23 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-WORD = re.compile(r"\w+")
+from .common import row_key
+
+#: Scripts written without blanks. Fixed values of the Unicode code charts.
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+WORD, ONE = re.compile(r"\w+"), re.compile(f"[{UNSPACED}]")
+MIXED = re.compile(rf"[{UNSPACED}]|[^\W{UNSPACED}]+")
 SEED_WORDS = 3
 BLOCK_BYTES = 8 << 20
 THRESHOLD = 0.5
 #: Pairs of stretch and item that are aligned at once.
 ALIGN_PAIRS = 4096
-FOUND = "doc_id long, item_id long, score double, seeds long"
+FOUND = "doc_id long, item_id long, score double, seeds long, _hash long"
 
 
 def words_of(text: str | None) -> list[str]:
-    return WORD.findall((text or "").lower())
+    text = (text or "").lower()
+    return (WORD if text.isascii() or not ONE.search(text) else MIXED).findall(text)
 
 
 class Seeds:
@@ -150,8 +159,15 @@ def contaminated(
 
     score is 0 to 1, 1 for a whole copy; seeds counts the different seeds of the best stretch.
     """
+    found = _found(docs, benchmark, id_col, text_col, item_col, item_text, threshold)
+    best = F.max(F.struct("score", "seeds")).alias("best")
+    return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.score", "best.seeds")
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text: str, threshold: float) -> DataFrame:
+    """(doc_id, item_id, score, seeds, hash of the text) of every stretch that scores enough."""
     spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("_hash"))
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).alias("text"))
     items = items.where("item_id is not null").groupBy("item_id", "text").count().drop("count")
     total = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
@@ -161,33 +177,33 @@ def contaminated(
         part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block)
         one = _block(spark, texts, Seeds([(r.item_id, r.text) for r in part.collect()]), threshold)
         found = one if found is None else found.union(one)
-    best = F.max(F.struct("score", "seeds")).alias("best")
-    return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.score", "best.seeds")
+    return found
 
 
 def _block(spark, texts: DataFrame, seeds: Seeds, threshold: float) -> DataFrame:
     held = spark.sparkContext.broadcast(seeds)
 
-    def aligned(some: list[tuple[int, int, int, list[str]]]) -> pa.RecordBatch:
-        """What scores enough of (doc_id, item, seeds, words)."""
+    def aligned(some: list[tuple[int, int, int, list[str], int]]) -> pa.RecordBatch:
+        """What scores enough of (doc_id, item, seeds, words, hash)."""
         items = held.value
-        pairs = [(items.words[i], words) for _, i, _, words in some]
+        pairs = [(items.words[i], words) for _, i, _, words, _ in some]
         rows = [
-            (doc, items.ids[i], score, n)
-            for (doc, i, n, _), own, (item, _) in zip(some, alignments(pairs), pairs)
+            (doc, items.ids[i], score, n, h)
+            for (doc, i, n, _, h), own, (item, _) in zip(some, alignments(pairs), pairs)
             if (score := own / (2 * len(item))) >= threshold
         ]
-        cols = list(zip(*rows)) if rows else [[], [], [], []]
-        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "item_id", "score", "seeds"])
+        cols = list(zip(*rows)) if rows else [[]] * 5
+        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
+        names = ["doc_id", "item_id", "score", "seeds", "_hash"]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         some = []
         for batch in batches:
-            for d, t in zip(batch.column(0), batch.column(1)):
+            for d, t, h in zip(*batch.columns):
                 for i, n, words in held.value.stretches(words_of(t.as_py())):
                     if held.value.bound(i, words) >= threshold:
-                        some.append((d.as_py(), i, n, words))
+                        some.append((d.as_py(), i, n, words, h.as_py()))
                 if len(some) >= ALIGN_PAIRS:
                     yield aligned(some)
                     some = []
@@ -197,6 +213,9 @@ def _block(spark, texts: DataFrame, seeds: Seeds, threshold: float) -> DataFrame
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the documents that hold a copy of a benchmark item."""
-    bad = contaminated(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs[id_col].cast("long") == bad._bad, "left_anti")
+    """``docs`` without the documents that hold a copy of a benchmark item; rows are told apart by id and text."""
+    bad = _found(docs, benchmark, id_col, text_col, "item_id", "text", THRESHOLD)
+    number = F.col("doc_id")
+    bad = bad.select(number.isNull().alias("_none"), F.coalesce(number, F.lit(0)).alias("_id"), "_hash").distinct()
+    key = ["_none", "_id", "_hash"]
+    return docs.select("*", *row_key(id_col, text_col)).join(bad, key, "left_anti").drop(*key)

@@ -33,6 +33,8 @@ SCRIPTS = 13
 BUCKETS = 1 << 16
 SWITCH = 12.0
 SCRIPT_SHARE = 1e-3
+#: Languages that are learned at most, those with the most characters.
+MAX_LANGS = 1000
 #: Characters that the model is fitted on, and those of the longest text among them.
 TRAIN_CHARS = 4_000_000
 MAX_CHARS = 50_000
@@ -126,7 +128,7 @@ def viterbi(scores: np.ndarray, doc: np.ndarray, n_docs: int, switch: float) ->
     lined = np.empty_like(scores)
     lined[to] = scores
     stay = np.ones((words, labels), bool)
-    best_before = np.zeros(words, np.int8)
+    best_before = np.zeros(words, np.int16)
     total = np.zeros((n_docs, labels))
     for t, n in enumerate(live):
         before, s = total[:n], slice(offset[t], offset[t] + n)
@@ -136,8 +138,8 @@ def viterbi(scores: np.ndarray, doc: np.ndarray, n_docs: int, switch: float) ->
             best_before[s] = before.argmax(axis=1)
             np.maximum(before, jump, out=before)
         before += lined[s]
-    found = np.zeros(words, np.int8)
-    state = total.argmax(axis=1).astype(np.int8)
+    found = np.zeros(words, np.int16)
+    state = total.argmax(axis=1).astype(np.int16)
     rows = np.arange(n_docs)
     for t in range(len(live) - 1, -1, -1):
         n, s = live[t], slice(offset[t], offset[t] + live[t])
@@ -233,12 +235,13 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """Fit a model on a bounded sample: about TRAIN_CHARS characters, shared evenly by the languages.
 
     A hash of the id picks the rows, so the sample is the same on every run; texts beyond MAX_CHARS are not
-    taken into the sample. Only counts for each language and the sample itself reach the driver.
+    taken into the sample. Only counts for MAX_LANGS languages and the sample itself reach the driver.
     """
     rows = docs.select(
         F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.length(text_col).alias("n")
     ).where(F.col("lang").isNotNull() & F.col("n").between(1, MAX_CHARS))
-    sizes = {r.lang: r.chars for r in rows.groupBy("lang").agg(F.sum("n").alias("chars")).collect()}
+    most = rows.groupBy("lang").agg(F.sum("n").alias("chars")).orderBy(F.desc("chars"), "lang").limit(MAX_LANGS)
+    sizes = {r.lang: r.chars for r in most.collect()}
     if not sizes:
         return LanguageModel([])
     share = F.create_map(*[F.lit(x) for k, v in sizes.items() for x in (k, TRAIN_CHARS / len(sizes) / v)])

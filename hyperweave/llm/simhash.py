@@ -1,12 +1,16 @@
 """SimHash near-duplicates by a segment-popcount embedding.
 
-A fingerprint becomes the vector of the bit counts of its eight 8-bit segments. One differing bit moves
+A fingerprint becomes the vector of the bit counts of its sixteen 4-bit segments. One differing bit moves
 one count by one, so the Manhattan distance of two vectors never exceeds the Hamming distance of the
 fingerprints. The vectors lie on an integer grid: fingerprints within ``max_bits`` are found by joining each
 one's cell with the cells within that Manhattan distance, and the join condition verifies exactly.
 
+With sixteen segments a fingerprint goes to 273 cells, and two random ones meet in one of them with a chance of
+3e-7, so candidates grow slowly with the square; with eight it would be 73 cells and 1.6e-4.
+
 Defined results: null or empty texts and texts without words have fingerprint 0 and link like any other;
-every input row gives one row; rows with the same text share one fingerprint, which is joined once.
+every input row gives one row; rows with the same text share one fingerprint, which is joined once. Rows that share
+an id are separate documents.
 """
 
 from __future__ import annotations
@@ -19,9 +23,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import components, cut
+from .common import components, cut, row_key
 
-SEGMENTS = 8
+SEGMENTS, BITS = 16, 4
 SHINGLE = 3
 SEED = 42
 BLOCK = 1 << 15
@@ -48,17 +52,17 @@ def simhash(text: str | None, width: int = SHINGLE) -> int:
     return int(np.packbits(votes * 2 > total, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id long, fp long): each row's fingerprint, as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", more: list[str] = []) -> DataFrame:
+    """(doc_id long, fp long): each row's fingerprint, as a signed long, and the columns of ``more``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([simhash(t.as_py()) for t in batch.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found), *batch.columns[2:]], ["doc_id", "fp", *more])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        run, "doc_id long, fp long"
-    )
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *more)
+    kinds = [f"{c} {rows.schema[c].dataType.simpleString()}" for c in more]
+    return rows.mapInArrow(run, ", ".join(["doc_id long", "fp long", *kinds]))
 
 
 def _steps(max_bits: int) -> list[int]:
@@ -73,26 +77,30 @@ def _steps(max_bits: int) -> list[int]:
 
 
 def link_fingerprints(fps: DataFrame, max_bits: int = 2) -> DataFrame:
-    """Pairs (a, b) of the ``rep`` of distinct fingerprints at ``max_bits`` or fewer differing bits, each once.
+    """Pairs (a, b) of distinct fingerprints (column fp) at ``max_bits`` or fewer differing bits, each once.
 
-    ``fps`` has columns fp and rep. A row is copied to the cells of half a Manhattan ball (73 for two bits),
-    never to another row, so the shuffle grows with the rows.
+    A row is copied to the cells of half a Manhattan ball (273 for two bits), never to another row, so the shuffle
+    grows with the rows.
     """
     counts = [
-        F.shiftleft(F.bit_count(F.shiftright(F.col("fp"), 8 * k).bitwiseAND(F.lit(255))).cast("long"), 4 * k)
+        F.shiftleft(F.bit_count(F.shiftright(F.col("fp"), BITS * k).bitwiseAND(F.lit((1 << BITS) - 1))).cast("long"), 4 * k)
         for k in range(SEGMENTS)
     ]
     cell = sum(counts[1:], counts[0])
-    at = fps.select("fp", "rep", cell.alias("cell"))
+    at = fps.select("fp", cell.alias("cell"))
     steps = F.array(*[F.lit(s).cast("long") for s in _steps(max_bits)])
-    left = at.select(F.col("fp").alias("fp1"), F.col("rep").alias("r1"), F.explode(steps).alias("step"), "cell")
-    left = left.select("fp1", "r1", (F.col("cell") + F.col("step")).alias("cell1"), (F.col("step") == 0).alias("own"))
-    right = at.select(F.col("fp").alias("fp2"), F.col("rep").alias("r2"), F.col("cell").alias("cell2"))
-    near = F.bit_count(F.col("fp1").bitwiseXOR(F.col("fp2"))) <= max_bits
-    once = ~F.col("own") | (F.col("fp1") < F.col("fp2"))
-    return left.join(right, (F.col("cell1") == F.col("cell2")) & near & once).select(
-        F.col("r1").alias("a"), F.col("r2").alias("b")
-    )
+    left = at.select(F.col("fp").alias("a"), F.explode(steps).alias("step"), "cell")
+    left = left.select("a", (F.col("cell") + F.col("step")).alias("cell1"), (F.col("step") == 0).alias("own"))
+    right = at.select(F.col("fp").alias("b"), F.col("cell").alias("cell2"))
+    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits
+    once = ~F.col("own") | (F.col("a") < F.col("b"))
+    return left.join(right, (F.col("cell1") == F.col("cell2")) & near & once).select("a", "b")
+
+
+def groups(fps: DataFrame, max_bits: int = 2) -> DataFrame:
+    """(fp, grp): the component of each distinct fingerprint, named by one of its fingerprints."""
+    comp = components(link_fingerprints(fps, max_bits))
+    return fps.join(comp, fps.fp == comp.node, "left").select("fp", F.coalesce("comp", "fp").alias("grp"))
 
 
 def simhash_components(
@@ -101,19 +109,25 @@ def simhash_components(
     """(doc_id, fp, component_id) for each row of ``docs``; the component's id is its smallest doc_id."""
     rows = cut(fingerprints(docs, id_col, text_col))
     fps = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    links = link_fingerprints(fps.where("rep is not null"), max_bits)
-    comp = components(links)
-    named = fps.join(comp, fps.rep == comp.node, "left").select("fp", F.coalesce("comp", "rep").alias("component_id"))
-    return rows.join(named, "fp", "left").select("doc_id", "fp", "component_id")
+    named = fps.join(groups(fps.select("fp"), max_bits), "fp")
+    least = named.groupBy("grp").agg(F.min("rep").alias("component_id"))
+    return rows.join(named.join(least, "grp").select("fp", "component_id"), "fp", "left").select("doc_id", "fp", "component_id")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 2) -> DataFrame:
-    """``docs`` with one document of each component: that of the smallest id, one row if rows repeat that id.
+    """``docs`` with one document of each component: that of the smallest id, or of the least text hash among equals.
 
-    Rows without an id can't stand for a group and are kept as they are.
+    Rows without an id stand after all others, so one of them stays only where its component has no id at all.
     """
-    found = simhash_components(docs, id_col, text_col, max_bits)
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.where(F.col(id_col).isNotNull())
-    out = named.join(kept, named[id_col] == kept._kept, "left_semi").dropDuplicates([id_col])
-    return out.union(docs.where(F.col(id_col).isNull()))
+    rows = docs.select(id_col, text_col, *row_key(id_col, text_col))
+    fps = fingerprints(rows, id_col, text_col, ["_none", "_id", "_hash"])
+    fps = cut(fps.groupBy("fp", "_none", "_id", "_hash").agg(F.count("*").alias("n")))
+    first = fps.groupBy("fp").agg(F.min(F.struct("_none", "_id", "_hash", "n")).alias("first"))
+    named = first.join(groups(first.select("fp"), max_bits), "fp")
+    kept = cut(named.groupBy("grp").agg(F.min("first").alias("k")).select("k.*"))
+    key = ["_none", "_id", "_hash"]
+    keyed = docs.select("*", *row_key(id_col, text_col))
+    # Only where equal rows repeat is one of them picked.
+    single = keyed.join(kept.where("n = 1"), key, "left_semi")
+    repeated = keyed.join(kept.where("n > 1"), key, "left_semi").dropDuplicates(key)
+    return single.union(repeated).drop(*key)

@@ -91,3 +91,45 @@ def test_no_alignment_beats_the_bound():
     for _ in range(200):
         item, text = [r.choice("abcd") for _ in range(r.randint(1, 12))], [r.choice("abcde") for _ in range(r.randint(1, 20))]
         assert dc.Seeds([(1, " ".join(item))]).bound(0, text) >= slow(item, text) / (2 * len(item))
+
+
+def test_pairs_equal_brute_force(spark):
+    """Every pair that shares a trigram (or a short item's words) and scores enough, and no other."""
+    r = random.Random(11)
+    words = [f"w{k}" for k in range(60)]
+    items = [(k, [r.choice(words) for _ in range(r.randint(1, 14))]) for k in range(40)]
+    docs = []
+    for d in range(120):
+        text = [r.choice(words) for _ in range(r.randint(0, 30))]
+        for _ in range(r.randint(0, 2)):
+            _, own = r.choice(items)
+            text += [w if r.random() < 0.8 else "x" for w in own if r.random() < 0.95] + [r.choice(words) for _ in range(4)]
+        docs.append((d, text))
+    runs = lambda t, n: {tuple(t[k : k + n]) for k in range(len(t) - n + 1)}
+    want = set()
+    for d, text in docs:
+        for i, own in items:
+            n = min(3, len(own))
+            if runs(text, n) & runs(own, n) and text and slow(own, text) / (2 * len(own)) >= dc.THRESHOLD:
+                want.add((d, i))
+    given = spark.createDataFrame([(d, " ".join(t)) for d, t in docs], "doc_id long, text string").repartition(3)
+    found = dc.contaminated(given, bench(spark, [(i, " ".join(t), 0) for i, t in items]))
+    got = {(x.doc_id, x.item_id) for x in found.collect()}
+    # A stretch of the document around the seeds is aligned, with the item's own length on both sides: what lies further adds nothing.
+    assert got == want and len(want) > 40
+
+
+def test_rows_without_an_id_or_with_a_shared_one(spark):
+    item = "one two three four five six seven eight"
+    rows = [(None, f"so it is {item}"), (4, item), (4, "something else that stays here"), (None, "clean text of its own")]
+    left = dc.clean(spark.createDataFrame(rows, "doc_id long, text string"), bench(spark, [(1, item, 0), (None, "clean text of its own", 0)]))
+    assert sorted((r.doc_id or -1, r.text) for r in left.collect()) == [(-1, rows[3][1]), (4, rows[2][1])]
+
+
+def test_edited_copies_in_scripts_without_blanks(spark):
+    r = random.Random(12)
+    item = "".join(chr(r.randrange(0x4E00, 0x9FA0)) for _ in range(40))
+    edited = "".join(c if k % 9 else "x" for k, c in enumerate(item))
+    rows = [(1, "前" + edited + "后"), (2, item[::-1])]
+    found = dc.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench(spark, [(1, item, 0)]))
+    assert [x.doc_id for x in found.collect()] == [1]
