@@ -9,14 +9,18 @@ Conversations are ranked by the sequence of their nodes' names; a node belongs t
 has it, and the order by that rank and the depth is the depth-first order of the tree. Each node's characters
 are emitted once; running sums over ranges of that order give its place in the whole sequence. Every character
 carries its position in its conversation (the position id: the node's position plus its own in the piece), and
-each node the intervals of its ancestors in the sequence, which its characters may attend to.
+each node the intervals of its ancestors in the sequence, which its characters may attend to. Units are characters,
+so that any tokenizer can follow.
+
+The sequence itself is a table of blocks of characters. A conversation is read back from it alone: the intervals of
+its last node and that node's own are cut at the blocks' ends and fetched from them.
 
 Templates: ``<s>`` and ``</s>`` around a conversation, ``[INST] `` and `` [/INST]`` around a user's turn,
 ``<<SYS>>`` and ``<</SYS>>`` around a system's turn, ``<<AST>>`` and ``<</AST>>`` around an assistant's, and
 ``<<ROLE name>>`` and ``<</ROLE>>`` around any other's.
 
 Defined results: null texts are empty, null roles are the empty role; turns with equal numbers are ordered by
-role and text; a repeated turn counts each time; rows without conv_id are one conversation of id null.
+role and text; a repeated turn counts each time; each row without conv_id is a conversation of its own, of id null.
 """
 
 from __future__ import annotations
@@ -29,6 +33,8 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
+from hyperweave.functions.state import hot_keys, look_up
+
 from .common import cut
 
 # Fixed values of the template.
@@ -39,8 +45,8 @@ OTHER_OPEN, OTHER_NAME_END, OTHER_CLOSE = "<<ROLE ", ">>", "<</ROLE>>"
 #: What a text may not hold bare: the escape itself and the first letter of every mark.
 ESCAPED = re.compile(r"[\\<\[]")
 UNESCAPED = re.compile(r"\\(.)", re.S)
-#: Hexadecimal digits of a node's name.
-NAME_CHARS = 32
+#: Hexadecimal digits of a node's name, and characters of a block of the sequence.
+NAME_CHARS, BLOCK = 32, 4096
 
 
 def escape(text: str) -> str:
@@ -103,7 +109,8 @@ def conversations_of(rows: DataFrame) -> DataFrame:
             F.coalesce("text", F.lit("")).alias("text"),
         ).alias("one"),
     )
-    whole = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list("one")).alias("turns"))
+    whole = turns.where("conv_id is not null").groupBy("conv_id").agg(F.sort_array(F.collect_list("one")).alias("turns"))
+    whole = whole.union(turns.where("conv_id is null").select("conv_id", F.array("one")))
 
     def shape(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -174,7 +181,8 @@ def _ancestors(rows: DataFrame, placed: DataFrame) -> DataFrame:
     Each run is one interval; a node attends to the runs before its own and to its own up to itself.
     """
     known = placed.select(F.col("node").alias("of"), F.col("rank").alias("owner"), "place", "size")
-    path = rows.select("rank", "k", "node").join(known, F.col("node") == F.col("of"))
+    path = rows.select("rank", "k", F.col("node").alias("of"))
+    path = look_up(path, ["of"], known, hot_keys(path, ["of"])).withColumnRenamed("of", "node")
     path = path.groupBy("rank").agg(F.sort_array(F.collect_list(F.struct("k", "node", "owner", "place", "size"))).alias("path"))
 
     def spans(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -197,16 +205,45 @@ def _ancestors(rows: DataFrame, placed: DataFrame) -> DataFrame:
     return path.mapInPandas(spans, "node string, ancestors array<struct<start:long,end:long>>")
 
 
+def sequence(nodes: DataFrame) -> DataFrame:
+    """(block, text): the characters of the tree in depth-first order, BLOCK in each row but the last."""
+
+    def split(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for place, piece in zip(f["place"], f["piece"]):
+                at = 0
+                while at < len(piece):
+                    block, within = divmod(int(place) + at, BLOCK)
+                    to = at + BLOCK - within
+                    out.append((block, within, piece[at:to]))
+                    at = to
+            yield pd.DataFrame(out, columns=["block", "within", "part"])
+
+    parts = nodes.select("place", "piece").mapInPandas(split, "block long, within int, part string")
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("within", "part"))), lambda x: x["part"]), "")
+    return parts.groupBy("block").agg(text.alias("text"))
+
+
 def read_back(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars) of every conversation, from the tree.
+    """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars) of every conversation, from the sequence.
 
-    A conversation is the list of its nodes; each is fetched from the emitted tree, the pieces are joined by
-    their positions and parsed again. The loss mask covers the text of the assistant's turns.
+    A conversation is known by its last node: what that attends to, in order, and its own piece are fetched from the
+    sequence's blocks and parsed again. The loss mask covers the text of the assistant's turns.
     """
-    emitted = nodes.select(F.col("node").alias("of"), "position", "piece")
-    parts = rows.select("conv_id", "rank", "node").join(emitted, F.col("node") == F.col("of"))
-    pieces = F.transform(F.sort_array(F.collect_list(F.struct("position", "piece"))), lambda x: x["piece"])
-    whole = parts.groupBy("rank", "conv_id").agg(F.concat(F.array_join(pieces, ""), F.lit(END)).alias("formatted"))
+    last = rows.groupBy("rank", "conv_id").agg(F.max_by("node", "k").alias("node"))
+    known = nodes.select("node", F.concat("ancestors", F.array(F.struct(F.col("place").alias("start"), (F.col("place") + F.col("size")).alias("end")))).alias("spans"))
+    spans = look_up(last, ["node"], known, hot_keys(last, ["node"])).select("rank", "conv_id", F.explode("spans").alias("s"))
+    blocks = F.explode(F.sequence(F.floor(F.col("s.start") / BLOCK), F.floor((F.col("s.end") - 1) / BLOCK)))
+    # Intervals come in the order of the sequence: a node stands behind all its ancestors.
+    cuts = spans.select("rank", "conv_id", "s", blocks.alias("block")).select(
+        "rank", "conv_id", "block", F.greatest("s.start", F.col("block") * BLOCK).alias("from"), F.least("s.end", (F.col("block") + 1) * BLOCK).alias("to")
+    )
+    cuts = cut(cuts)
+    found = look_up(cuts, ["block"], cut(sequence(nodes)), hot_keys(cuts, ["block"]))
+    part = F.substring("text", F.col("from") - F.col("block") * BLOCK + 1, F.col("to") - F.col("from"))
+    pieces = F.transform(F.sort_array(F.collect_list(F.struct("from", part.alias("part")))), lambda x: x["part"])
+    whole = found.groupBy("rank", "conv_id").agg(F.concat(F.array_join(pieces, ""), F.lit(END)).alias("formatted"))
 
     def digest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:

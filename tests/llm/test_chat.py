@@ -19,7 +19,8 @@ def sha(x):
     return hashlib.sha256(x.encode()).hexdigest()
 
 
-def test_tree_and_digests(spark):
+def test_tree_and_digests(spark, monkeypatch):
+    monkeypatch.setattr(chat, "BLOCK", 16)
     convs = {
         1: [("user", "hi"), ("assistant", "yes"), ("user", "more"), ("assistant", "a")],
         2: [("user", "hi"), ("assistant", "yes"), ("user", "more"), ("assistant", "b")],
@@ -42,6 +43,8 @@ def test_tree_and_digests(spark):
     emitted = sorted(nodes.collect(), key=lambda n: n.place)
     prefixes = {tuple(t[: k + 1]) for t in convs.values() for k in range(len(t))}
     assert len(emitted) == len(prefixes)
+    whole = "".join(r.text for r in sorted(chat.sequence(nodes).collect(), key=lambda r: r.block))
+    assert whole == "".join(n.piece for n in emitted)
     at, path = 0, []
     for n in emitted:  # depth-first: each node's parent is the last node of the depth before
         assert n.place == at
@@ -56,5 +59,11 @@ def test_tree_and_digests(spark):
 def test_empty_and_null(spark):
     table, nodes = chat.formatted(spark.createDataFrame([], KIND))
     assert nodes.count() == 0 and chat.read_back(table, nodes).count() == 0
-    table, nodes = chat.formatted(spark.createDataFrame([(None, None, None, None, None, None), (1, 0, "user", "x" * 200_000, None, None)], KIND))
-    assert sorted(r.n_turns for r in chat.read_back(table, nodes).collect()) == [1, 1]
+    table, nodes = chat.formatted(spark.createDataFrame([(None, None, None, None, None, None)] * 2 + [(1, 0, "user", "x" * 200_000, None, None)], KIND))
+    assert sorted(r.n_turns for r in chat.read_back(table, nodes).collect()) == [1, 1, 1]
+
+
+def test_what_is_read_is_the_sequence(spark):
+    table, nodes = chat.formatted(spark.createDataFrame([(1, 0, "user", "one", None, None), (1, 1, "assistant", "two", None, None)], KIND))
+    other = nodes.withColumn("piece", chat.F.replace("piece", chat.F.lit("two"), chat.F.lit("six")))
+    assert chat.read_back(table, other).first().loss_sha256 == sha("six")
