@@ -34,6 +34,8 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+from .common import give_back
+
 #: Bytes that one recursive query takes (a longer word is taken alone), and characters of documents that wait for it.
 BYTES_AT_ONCE = 150_000
 CHARS_AT_ONCE = 4_000_000
@@ -380,6 +382,7 @@ def forget() -> None:
     for own in _ENCODERS.values():
         own.db.close()
     _ENCODERS.clear()
+    give_back()
 
 
 IDS = "ids array<int>, "

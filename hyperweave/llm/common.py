@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+from contextlib import suppress
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hyperweave.functions.state import cut, shared_dir
 from hyperweave.operators.components import linked
 
-__all__ = ["components", "cut", "fold", "in_fold", "labelled_sample", "row_key", "shared_dir", "stable_order"]
+__all__ = ["components", "cut", "fold", "give_back", "in_fold", "labelled_sample", "row_key", "shared_dir", "stable_order"]
 
 
 def row_key(id_col: str, text_col: str) -> list[Column]:
@@ -16,6 +21,14 @@ def row_key(id_col: str, text_col: str) -> list[Column]:
     return [number.isNull().alias("_none"), F.coalesce(number, F.lit(0)).alias("_id"), F.xxhash64(text_col).alias("_hash")]
 
 
+def give_back() -> None:
+    """At a task's end: memory that it has freed goes back to the system, since other stages use the worker next."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # other C libraries keep it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def fold(col: str, parts: int):
     """crc32 of the id as text, modulo ``parts``; null ids belong to no fold."""
     return F.crc32(F.col(col).cast("string")) % F.lit(parts)

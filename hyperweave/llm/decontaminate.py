@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import row_key
+from .common import give_back, row_key
 
 #: Scripts written without blanks. Fixed values of the Unicode code charts.
 UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
@@ -208,6 +208,7 @@ def _block(spark, texts: DataFrame, seeds: Seeds, threshold: float) -> DataFrame
                     yield aligned(some)
                     some = []
         yield aligned(some)
+        give_back()
 
     return texts.mapInArrow(scan, FOUND)
 

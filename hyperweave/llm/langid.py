@@ -19,7 +19,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import in_fold, stable_order
+from .common import give_back, in_fold, stable_order
 
 #: First code points of the script ranges: Latin, Greek, Cyrillic, Armenian, Hebrew, Arabic, Devanagari to other
 #: Indic, Thai to other South-East Asian, Georgian, Hangul letters, other, Latin extended, Greek extended, other,
@@ -261,6 +261,7 @@ def identify(
         for f in frames:
             names, scores = held.value.predict(f["text"].tolist())
             yield pd.DataFrame({"doc_id": f["doc_id"], "lang_pred": names, "score": scores})
+        give_back()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInPandas(run, "doc_id long, lang_pred string, score double")
@@ -277,8 +278,10 @@ def known(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_co
     held = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")
-    def told(texts: pd.Series) -> pd.Series:
-        return pd.Series([name != "und" for name in held.value.predict(texts.tolist())[0]])
+    def told(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([name != "und" for name in held.value.predict(texts.tolist())[0]])
+        give_back()
 
     return docs.where(told(F.col(text_col)))
 

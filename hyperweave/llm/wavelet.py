@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 from tokenizers import Tokenizer
 
-from .common import cut, shared_dir
+from .common import cut, give_back, shared_dir
 
 MAGIC = b"WVM2"
 END_ID = 1
@@ -362,6 +362,7 @@ def write_shards(
             yield flush()
         gc.enable()
         _ENCODERS.clear()
+        give_back()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     tie = F.xxhash64("text")
