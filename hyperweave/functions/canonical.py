@@ -2,7 +2,8 @@
 
 Records that are isomorphic get the same word. Refinement by colours (degrees, then rounds of sorted multisets)
 cuts constants into cells; the search tries the orders within cells, individualising one constant at a time and
-refining again. The search is bounded by a number of leaves; beyond it the record is censored (null word).
+refining again. Constants that can change places without changing any fact are alike: of those one is tried. The
+search is bounded by a number of leaves; beyond it the record is censored (null word) and stands alone.
 """
 
 from __future__ import annotations
@@ -41,6 +42,13 @@ def word(types: list[int], facts: list[Fact], rank: list[int]) -> str:
     return " ".join([f"T{types[v]}" for v in order] + [f"F{p}({','.join(map(str, r))})" for p, r in named])
 
 
+def alike(facts: list[Fact], u: int, v: int) -> bool:
+    """Whether exchanging two constants leaves the facts as they are."""
+    own = {(p, m) for p, m in facts if (u in m) != (v in m)}
+    change = {u: v, v: u}
+    return {(p, tuple(sorted(change.get(w, w) for w in m))) for p, m in own} == {(p, tuple(sorted(m))) for p, m in own}
+
+
 def canonical_word(types: list[int], facts: list[Fact], max_leaves: int = MAX_LEAVES) -> str | None:
     """The least word (facts compared as tuples) over all leaves of the refinement tree, None beyond the bound."""
     n, best, leaves = len(types), None, 0
@@ -59,7 +67,11 @@ def canonical_word(types: list[int], facts: list[Fact], max_leaves: int = MAX_LE
             if best is None or named < best[0]:
                 best = (named, colour)
             continue
+        tried: list[int] = []
         for v in cells[open_cells[0]]:
+            if any(alike(facts, u, v) for u in tried):
+                continue
+            tried.append(v)
             split = [2 * c + (c == open_cells[0] and w != v) for w, c in enumerate(colour)]
             stack.append(refine(n, facts, split))
     return word(types, facts, best[1]) if best else ""
@@ -84,5 +96,8 @@ def canonical_words(inc: DataFrame) -> DataFrame:
 
 
 def canonical_classes(inc: DataFrame) -> DataFrame:
-    """(word, members, first_hg): isomorphism classes of records."""
-    return canonical_words(inc).groupBy("word").agg(F.count("*").alias("members"), F.min("hg").alias("first_hg"))
+    """(word, members, first_hg, censored): isomorphism classes of records; a censored record is a class of its own."""
+    words = canonical_words(inc).withColumn("censored", F.col("word").isNull())
+    alone = F.concat(F.lit("censored "), F.col("hg").cast("string"))
+    named = words.withColumn("word", F.coalesce("word", alone))
+    return named.groupBy("word", "censored").agg(F.count("*").alias("members"), F.min("hg").alias("first_hg"))

@@ -37,10 +37,13 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def hot_keys(rows: DataFrame, keys: list[str]) -> DataFrame | None:
-    """The keys that hold more than one in HOT_SHARE rows (so HOT_SHARE of them at most), None if there are none."""
+def hot_keys(rows: DataFrame, keys: list[str], total: int | None = None) -> DataFrame | None:
+    """The keys that hold more than one in HOT_SHARE rows (so HOT_SHARE of them at most), None if there are none.
+
+    ``total`` is the number of rows, where it is known.
+    """
     counts = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
-    total = rows.count()
+    total = rows.count() if total is None else total
     found = counts.where(F.col("_n") > total / HOT_SHARE).select(*keys).collect()
     return rows.sparkSession.createDataFrame(found, counts.select(*keys).schema) if found else None
 
@@ -74,3 +77,18 @@ def running(df: DataFrame, order: list[str], sums: dict[str, str]) -> DataFrame:
         ranged = ranged.withColumn(f"_w_{n}", F.sum(c).over(within))
     out = ranged.join(F.broadcast(offsets), "_part")  # one row for each range
     return out.select(*df.columns, *[(F.col(f"_w_{n}") + F.col(f"_o_{n}")).alias(n) for n in sums])
+
+
+def running_within(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, str]) -> DataFrame:
+    """``running`` that starts anew for each key; one key's rows may lie in many ranges."""
+    upto = running(df, [*keys, *order], sums)
+    start = upto.groupBy(*keys).agg(*[F.min(F.col(n) - F.col(c)).alias(f"_s_{n}") for n, c in sums.items()])
+    out = upto.join(start, keys)
+    return out.select(*df.columns, *[(F.col(n) - F.col(f"_s_{n}")).alias(n) for n in sums])
+
+
+def numbered(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """``df`` with its rows numbered from 0 within each key (over the whole table without keys), in a total order."""
+    one = df.withColumn("_one", F.lit(1))
+    upto = running_within(one, keys, order, {name: "_one"}) if keys else running(one, order, {name: "_one"})
+    return upto.withColumn(name, (F.col(name) - 1).cast("long")).drop("_one")

@@ -21,10 +21,10 @@ def linked(links: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     while True:
         least = links.groupBy(*of_u).agg(F.min("v").alias("v"))
         up = written(least.select(*keys, F.col("u").alias("node"), F.least("u", "v").alias("up")))
-        moved = True
+        nodes, moved = up.count(), True
         while moved:
             ahead = up.select(*keys, F.col("node").alias("up"), F.col("up").alias("next"))
-            new = look_up(up, of_up, ahead, hot_keys(up, of_up))
+            new = look_up(up, of_up, ahead, hot_keys(up, of_up, nodes))
             new = written(new.select(*keys, "node", F.col("next").alias("up"), (F.col("next") != F.col("up")).alias("moved")))
             moved = new.where("moved").limit(1).count() > 0
             up = new.select(*keys, "node", "up")
@@ -36,8 +36,9 @@ def linked(links: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
             labels = written(new.select(*keys, "node", F.coalesce("up", "comp").alias("comp")))
         first = up.select(*keys, F.col("node").alias("u"), F.col("up").alias("first"))
         second = up.select(*keys, F.col("node").alias("v"), F.col("up").alias("second"))
-        links = look_up(links, of_u, first, hot_keys(links, of_u))
-        links = look_up(links, of_v, second, hot_keys(links, of_v)).where("first <> second")
+        wide = hot_keys(links, of_u)  # links go both ways: the same nodes are hot on the other side
+        links = look_up(links, of_u, first, wide)
+        links = look_up(links, of_v, second, wide and wide.withColumnRenamed("u", "v")).where("first <> second")
         links = written(links.select(*keys, F.col("first").alias("u"), F.col("second").alias("v")).distinct())
         if not links.limit(1).count():
             return labels

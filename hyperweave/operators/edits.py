@@ -8,6 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from .hypergraph import components
+from .statistics import hashed
+
 
 def insert_facts(inc: DataFrame, facts: DataFrame) -> DataFrame:
     """Add facts (hg, members array) under new fact numbers; facts that are there already are left out."""
@@ -76,6 +79,43 @@ def edit_cost(kind: str, arity: str):
     return F.when(F.col(kind) == "fact", F.col(arity) + 1).otherwise(1)
 
 
+def _picked(rows: DataFrame, item: str, seed: int) -> DataFrame:
+    """(hg, item): for each record the item of the least seeded digest."""
+    place = F.struct(hashed(F.col("hg"), F.col(item), F.lit(seed)).alias("h"), item)
+    return rows.groupBy("hg").agg(F.min(place).alias("b")).select("hg", F.col(f"b.{item}").alias(item))
+
+
+def drop_picked_facts(inc: DataFrame, seed: int) -> DataFrame:
+    """A missing fact in each record that has others: which one, a seeded digest says."""
+    return inc.select("hg", "e", "v").join(_fact_of_many(inc, seed), ["hg", "e"], "left_anti")
+
+
+def _fact_of_many(inc: DataFrame, seed: int) -> DataFrame:
+    many = inc.groupBy("hg").agg(F.countDistinct("e").alias("m")).where("m > 1").select("hg")
+    return _picked(inc.join(many, "hg", "left_semi"), "e", seed)
+
+
+def exchange_picked_argument(inc: DataFrame, seed: int) -> DataFrame:
+    """A wrong argument in each record: one member of a picked fact becomes a constant of the record from outside it."""
+    inc = inc.select("hg", "e", "v")
+    fact = _fact_of_many(inc, seed)
+    members = inc.join(fact, ["hg", "e"], "left_semi")
+    old = fact.join(_picked(members, "v", seed + 1), "hg")
+    others = inc.join(fact.select("hg"), "hg", "left_semi").join(members.select("hg", "v"), ["hg", "v"], "left_anti")
+    new = _picked(others, "v", seed + 2).withColumnRenamed("v", "w")
+    swaps = old.join(new, "hg")
+    return inc.join(swaps, ["hg", "e", "v"], "left").select("hg", "e", F.coalesce("w", "v").alias("v"))
+
+
+def verdicts(inc: DataFrame) -> DataFrame:
+    """(hg, facts, kept, verdict): records with a fact of one constant or in several components are rejected."""
+    sizes = inc.groupBy("hg", "e").agg(F.count("*").alias("a"), F.array_join(F.sort_array(F.collect_list("v")), ",").alias("f"))
+    shape = sizes.groupBy("hg").agg(F.min("a").alias("least"), F.count("*").alias("facts"), F.countDistinct("f").alias("kept"))
+    parts = components(inc).groupBy("hg").agg(F.countDistinct("comp").alias("parts"))
+    verdict = F.when(F.col("least") < 2, "unary").when(F.col("parts") > 1, "disconnected").otherwise("accepted")
+    return shape.join(parts, "hg").select("hg", "facts", "kept", verdict.alias("verdict"))
+
+
 def subsets(df: DataFrame, items: str, most: int) -> DataFrame:
     """``df`` with each subset of up to ``most`` elements of an array column, as ``subset``."""
     out = df.withColumn("subset", F.array().cast(df.schema[items].dataType))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..functions.state import numbered
 from .hypergraph import arity, components, degree
 
 
@@ -42,9 +43,9 @@ def largest_component(inc: DataFrame) -> DataFrame:
 
 
 def frequency_ids(df: DataFrame, col: str) -> DataFrame:
-    """(col, times, id): values numbered from 0 by falling frequency, ties by value; an alphabet is few rows."""
+    """(col, times, id): values numbered from 0 by falling frequency, ties by value."""
     counts = df.groupBy(col).agg(F.count("*").alias("times"))
-    return counts.withColumn("id", F.row_number().over(Window.orderBy(F.desc("times"), col)) - 1)
+    return numbered(counts.withColumn("_down", -F.col("times")), [], ["_down", col], "id").drop("_down")
 
 
 def code_bits(inc: DataFrame) -> DataFrame:

@@ -15,7 +15,8 @@ from .edits import subsets
 def remainders(records: DataFrame, most: int) -> DataFrame:
     """(rec, dels, word): canonical words of each record less up to ``most`` facts, with the fewest deletions.
 
-    ``records`` has rec and facts (array of arrays of constants). Constants that no fact is left for go.
+    ``records`` has rec and facts (array of arrays of constants). Constants that no fact is left for go. What the
+    search for a word gives up on has a word of its own, which no other record shares.
     """
     places = records.select("rec", "facts", F.sequence(F.lit(1), F.size("facts")).alias("all"))
     less = subsets(places, "all", most).select("rec", F.size("subset").alias("dels"), "facts", "subset")
@@ -25,13 +26,13 @@ def remainders(records: DataFrame, most: int) -> DataFrame:
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out = []
-            for facts in f["facts"]:
+            for rec, facts in zip(f["rec"], f["facts"]):
                 names: dict = {}
                 own = [(0, tuple(sorted(names.setdefault(v, len(names)) for v in m))) for m in facts]
-                out.append(canonical_word([0] * len(names), own))
+                out.append(canonical_word([0] * len(names), own) or (f"censored {rec} {own}" if own else ""))
             yield pd.DataFrame({"rec": f["rec"], "dels": f["dels"], "word": out})
 
-    named = rows.mapInPandas(work, "rec long, dels int, word string").where("word IS NOT NULL")
+    named = rows.mapInPandas(work, "rec long, dels int, word string")
     return named.groupBy("rec", "word").agg(F.min("dels").alias("dels"))
 
 

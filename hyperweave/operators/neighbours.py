@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.state import cut
+from ..functions.state import cut, running_within
 
 QUERY_STEP = 100
 #: Rows of a query block, which every task of the other side gets at once.
@@ -64,6 +64,29 @@ def occurrences(near: DataFrame, ids: DataFrame) -> DataFrame:
     return ids.join(times, "j", "left").select("j", F.coalesce("times", F.lit(0)).alias("times"))
 
 
+def label_probabilities(dist: DataFrame) -> DataFrame:
+    """(i, li, lj, p): with what chance the nearest row of each query has each label, equally near ones drawn by chance."""
+    best = dist.groupBy("i").agg(F.min("d").alias("best"))
+    ties = dist.join(best, "i").where("d = best")
+    drawn = ties.groupBy("i").agg(F.count("*").alias("all"))
+    return ties.groupBy("i", "li", "lj").agg(F.count("*").alias("n")).join(drawn, "i").select("i", "li", "lj", (F.col("n") / F.col("all")).alias("p"))
+
+
+def expected_scores(probabilities: DataFrame) -> DataFrame:
+    """One row (queries, accuracy, macro_f1) of the expected confusion: macro F1 over the queries' labels."""
+    each = probabilities.groupBy("i", "li").agg(F.sum(F.when(F.col("li") == F.col("lj"), F.col("p")).otherwise(0.0)).alias("right"))
+    own = each.groupBy(F.col("li").alias("label")).agg(F.count("*").alias("n"), F.sum("right").alias("tp"))
+    told = probabilities.groupBy(F.col("lj").alias("label")).agg(F.sum("p").alias("told"))
+    f1 = own.join(told, "label", "left").withColumn("f1", 2 * F.col("tp") / (F.coalesce("told", F.lit(0.0)) + F.col("n")))
+    return f1.agg(F.sum("n").alias("queries"), (F.sum("tp") / F.sum("n")).alias("accuracy"), F.avg("f1").alias("macro_f1"))
+
+
+def separation(dist: DataFrame) -> DataFrame:
+    """One row (between, within, dunn): the least distance of queries to another label over the greatest to their own."""
+    ends = dist.agg(F.min(F.when(F.col("li") != F.col("lj"), F.col("d"))).alias("between"), F.max(F.when(F.col("li") == F.col("lj"), F.col("d"))).alias("within"))
+    return ends.withColumn("dunn", F.try_divide("between", "within"))
+
+
 def first_hit(dist: DataFrame) -> DataFrame:
     """(i, rank): the expected rank of the first row with the query's label, ties in random order."""
     best = dist.where("li = lj").groupBy("i").agg(F.min("d").alias("best"))
@@ -78,8 +101,7 @@ def first_hit(dist: DataFrame) -> DataFrame:
 def average_precision(dist: DataFrame) -> DataFrame:
     """(i, ap): average precision with whole tie blocks."""
     ties = dist.groupBy("i", "d").agg(F.count("*").alias("n"), F.count_if(F.col("li") == F.col("lj")).alias("pos"))
-    upto = Window.partitionBy("i").orderBy("d")
-    seen = ties.withColumn("seen", F.sum("n").over(upto)).withColumn("hits", F.sum("pos").over(upto))
+    seen = running_within(ties, ["i"], ["d"], {"seen": "n", "hits": "pos"})
     part = F.col("pos") * (F.col("hits").cast("double") / F.col("seen"))
     return seen.groupBy("i").agg((F.sum(part) / F.sum("pos")).alias("ap"), F.sum("pos").alias("pos")).where("pos > 0")
 

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from ..functions.state import running
+from ..functions.state import numbered, running
 
 
 def vocabulary(symbols: DataFrame) -> DataFrame:
     """(kind, name, id): the distinct symbols of each kind numbered from 0 in their order."""
-    order = Window.partitionBy("kind").orderBy("name")
-    return symbols.select("kind", "name").distinct().select("kind", "name", (F.row_number().over(order) - 1).alias("id"))
+    return numbered(symbols.select("kind", "name").distinct(), ["kind"], ["name"], "id")
 
 
 def fact_keys(inc: DataFrame) -> DataFrame:

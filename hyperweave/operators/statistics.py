@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.state import running
+from ..functions.state import numbered, running, running_within
 
 
 def holm(df: DataFrame, name: str, p: str) -> DataFrame:
@@ -34,10 +34,26 @@ def monotone_share(df: DataFrame, key: str, order: str, value: str) -> DataFrame
 
 def heavy_tail(df: DataFrame, key: str, value: str) -> DataFrame:
     """(key, q1, q3, share): the share beyond the third quartile plus one and a half times the quartiles' gap."""
-    cuts = df.groupBy(key).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
+    cuts = quantiles(df, key, value, [0.25, 0.75]).groupBy(key).agg(
+        F.max(F.when(F.col("p") == 0.25, F.col("q"))).alias("q1"), F.max(F.when(F.col("p") == 0.75, F.col("q"))).alias("q3")
+    )
     rows = df.join(cuts, key)
-    beyond = F.col(value) > F.col("q")[1] + 1.5 * (F.col("q")[1] - F.col("q")[0])
-    return rows.groupBy(key).agg(F.first("q")[0].alias("q1"), F.first("q")[1].alias("q3"), F.avg(beyond.cast("int")).alias("share"))
+    beyond = F.col(value) > F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
+    return rows.groupBy(key, "q1", "q3").agg(F.avg(beyond.cast("int")).alias("share"))
+
+
+def quantiles(df: DataFrame, key: str, value: str, shares: list[float]) -> DataFrame:
+    """(key, p, q): quantiles of each key with linear interpolation, from running counts of the distinct values."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("_n"))
+    upto = running_within(counts, [key], [value], {"_upto": "_n"})
+    totals = counts.groupBy(key).agg(F.sum("_n").alias("_t"))
+    ends = F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.lit(up).alias("up")) for p in shares for up in (0, 1)]))
+    at = F.col("e.p") * (F.col("_t") - 1)
+    place = F.least(F.floor(at) + F.col("e.up"), F.col("_t") - 1)
+    wanted = upto.join(totals, key).withColumn("e", ends).where((place < F.col("_upto")) & (place >= F.col("_upto") - F.col("_n")))
+    part = at - F.floor(at)
+    weight = F.when(F.col("e.up") == 1, part).otherwise(1 - part)
+    return wanted.groupBy(key, F.col("e.p").alias("p")).agg(F.sum(weight * F.col(value)).alias("q"))
 
 
 def power_law(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -61,25 +77,29 @@ def binned_information(df: DataFrame, x: str, y: str, bins: int) -> DataFrame:
     return both.join(one, "i").join(two, "j").join(total).agg(F.sum(p * F.log2(F.col("n") * F.col("t") / (F.col("ni") * F.col("nj")))).alias("bits"))
 
 
-def bootstrap_mean(df: DataFrame, key: str, value: str, draws: int, seed: int) -> DataFrame:
+def hashed(*parts: Column) -> Column:
+    """A number from 0 to 2^32 - 1 from a digest of the parts' text, the same on every run and engine."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *[p.cast("string") for p in parts])), 1, 8), 16, 10).cast("long")
+
+
+def bootstrap_mean(df: DataFrame, key: str, value: str, row: str, draws: int, seed: int) -> DataFrame:
     """(key, mean, low, high): percentile interval of the mean by Poisson resampling, whose weights need no row numbers.
 
-    Each row gets a Poisson(1) weight in each draw from a hash of the row and the draw, so no row moves; sums are
-    partially aggregated for each draw.
+    Each row gets a Poisson(1) weight in each draw from a digest of its own key ``row`` and the draw, so no row moves;
+    rows with equal values share their draws' sums only after that, partially aggregated for each draw.
     """
-    u = F.pmod(F.xxhash64(key, value, "_row", "_draw", F.lit(seed)), F.lit(1 << 30)) / F.lit(1 << 30)
+    u = hashed(F.col(row), F.col("_draw"), F.lit(seed)) / F.lit(float(1 << 32))
     steps = [0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582]  # fixed values: Poisson(1) distribution function
     weight = sum(F.when(u >= c, 1).otherwise(0) for c in steps)
-    rows = df.select(key, value, F.monotonically_increasing_id().alias("_row")).withColumn("_draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    rows = df.select(key, value, row).withColumn("_draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
     means = rows.withColumn("w", weight).groupBy(key, "_draw").agg(F.try_divide(F.sum(F.col("w") * F.col(value)), F.sum("w")).alias("m"))
-    ends = means.groupBy(key).agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
+    ends = means.groupBy(key).agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))  # ``draws`` values a key
     own = df.groupBy(key).agg(F.avg(value).alias("mean"))
     return own.join(ends, key).select(key, "mean", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
 
 
 def folds(df: DataFrame, id_col: str, label: str, k: int, seed: int) -> DataFrame:
     """``df`` with ``fold``: rows of each label dealt evenly in a seeded order, over running counts without one task for a label."""
-    shuffled = df.withColumn("_h", F.xxhash64(id_col, F.lit(seed))).withColumn("_one", F.lit(1))
-    counts = running(shuffled, [label, "_h", id_col], {"_upto": "_one"})
-    first = counts.groupBy(label).agg(F.min("_upto").alias("_first"))
-    return counts.join(first, label).withColumn("fold", F.pmod(F.col("_upto") - F.col("_first"), F.lit(k)).cast("int")).select(*df.columns, "fold")
+    shuffled = df.withColumn("_h", hashed(F.col(id_col), F.lit(seed)))
+    dealt = numbered(shuffled, [label], ["_h", id_col], "_at")
+    return dealt.withColumn("fold", F.pmod(F.col("_at"), F.lit(k)).cast("int")).select(*df.columns, "fold")

@@ -175,17 +175,58 @@ def mi_binned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return st.binned_information(rows, "x", "y", 20).select(F.round("bits", 6).alias("bits"))
 
 
-@query()
+@query(
+    "WITH d AS (SELECT event_type, event_id, value, unnest(range(1, 21)) AS draw FROM events), u AS (SELECT *, ('0x' || substr(md5(event_id || '|' || draw || '|7'), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM d), "
+    "w AS (SELECT event_type, draw, value, (u >= 0.36787944)::INT + (u >= 0.73575888)::INT + (u >= 0.91969860)::INT + (u >= 0.98101184)::INT + (u >= 0.99634015)::INT + (u >= 0.99940582)::INT AS w FROM u), "
+    "m AS (SELECT event_type, draw, sum(w * value) / sum(w) AS m FROM w GROUP BY ALL), q AS (SELECT event_type, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM m GROUP BY event_type) "
+    "SELECT event_type, round(avg(value), 6) AS mean, round(any_value(low), 6) AS low, round(any_value(high), 6) AS high FROM events JOIN q USING (event_type) GROUP BY event_type"
+)
 def bootstrap_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Resampled interval of the mean value of each kind of event."""
-    return st.bootstrap_mean(table(spark, sf_dir, "events").select("event_type", "value"), "event_type", "value", 100, 7)
+    found = st.bootstrap_mean(table(spark, sf_dir, "events").select("event_type", "value", "event_id"), "event_type", "value", "event_id", 20, 7)
+    return found.select("event_type", *[F.round(c, 6).alias(c) for c in ("mean", "low", "high")])
 
 
-@query()
+@query(
+    "SELECT vec_id, label, CAST((row_number() OVER (PARTITION BY label ORDER BY ('0x' || substr(md5(vec_id || '|3'), 1, 8))::BIGINT, vec_id) - 1) % 5 AS INT) AS fold FROM embeddings"
+)
 def stratified_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return st.folds(table(spark, sf_dir, "embeddings").select("vec_id", "label"), "vec_id", "label", 5, 3)
 
 
+DROP_SQL = (
+    f"{CUSTOMER_SQL}, f AS (SELECT DISTINCT hg, e FROM inc), pick AS (SELECT hg, e FROM (SELECT hg, e, count(*) OVER (PARTITION BY hg) AS m, "
+    "row_number() OVER (PARTITION BY hg ORDER BY ('0x' || substr(md5(hg || '|' || e || '|11'), 1, 8))::BIGINT, e) AS r FROM f) WHERE r = 1 AND m > 1)"
+)
+
+
+@query(f"WITH {DROP_SQL} SELECT i.hg, i.e, i.v FROM inc i LEFT JOIN pick p ON p.hg = i.hg AND p.e = i.e WHERE p.e IS NULL")
+def corrupt_missing_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record without one fact that a seeded digest picks; records of a single fact stay whole."""
+    return edits.drop_picked_facts(customer_incidence(spark, sf_dir), 11)
+
+
+@query(
+    f"WITH {DROP_SQL}, m AS (SELECT i.hg, i.e, i.v FROM inc i JOIN pick p ON p.hg = i.hg AND p.e = i.e), o AS (SELECT hg, e, v FROM (SELECT *, row_number() OVER (PARTITION BY hg ORDER BY ('0x' || substr(md5(hg || '|' || v || '|12'), 1, 8))::BIGINT, v) AS r FROM m) WHERE r = 1), "
+    "c AS (SELECT DISTINCT i.hg, i.v FROM inc i JOIN pick p ON p.hg = i.hg LEFT JOIN m ON m.hg = i.hg AND m.v = i.v WHERE m.v IS NULL), n AS (SELECT hg, v AS w FROM (SELECT *, row_number() OVER (PARTITION BY hg ORDER BY ('0x' || substr(md5(hg || '|' || v || '|13'), 1, 8))::BIGINT, v) AS r FROM c) WHERE r = 1) "
+    "SELECT i.hg, i.e, CASE WHEN o.v IS NOT NULL AND n.w IS NOT NULL THEN n.w ELSE i.v END AS v FROM inc i LEFT JOIN o ON o.hg = i.hg AND o.e = i.e AND o.v = i.v LEFT JOIN n ON n.hg = i.hg"
+)
+def corrupt_wrong_argument(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record with one constant of one fact exchanged for another of its constants, all picked by seeded digests."""
+    return edits.exchange_picked_argument(customer_incidence(spark, sf_dir), 11)
+
+
+@query(
+    f"WITH RECURSIVE {EVENT_SQL}, a AS (SELECT hg, e, count(*) AS a FROM inc GROUP BY hg, e), reach AS (SELECT hg, min(v) AS v FROM inc GROUP BY hg UNION SELECT x.hg, y.v FROM reach r JOIN inc x ON x.hg = r.hg AND x.v = r.v JOIN inc y ON y.hg = x.hg AND y.e = x.e), "
+    "n AS (SELECT hg, count(DISTINCT v) AS n FROM inc GROUP BY hg), k AS (SELECT hg, count(*) AS k FROM reach GROUP BY hg), s AS (SELECT hg, min(a) AS least, count(*) AS facts FROM a GROUP BY hg), "
+    f"u AS (SELECT hg, count(DISTINCT f) AS kept FROM (SELECT hg, string_agg(v, ',' ORDER BY v) AS f FROM inc GROUP BY hg, e) GROUP BY hg) "
+    "SELECT hg, facts, kept, CASE WHEN least < 2 THEN 'unary' WHEN k < n THEN 'disconnected' ELSE 'accepted' END AS verdict FROM s JOIN u USING (hg) JOIN n USING (hg) JOIN k USING (hg)"
+)
+def record_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which records are accepted, or why not, and how many facts stay without repetitions."""
+    return edits.verdicts(event_incidence(spark, sf_dir))
+
+
 @query(
     "WITH f AS (SELECT page_id, string_split(regexp_replace(url, '^[a-z]+://', ''), '/') AS p FROM pages) "
     "SELECT page_id, p[1] AS subject, CASE WHEN len(p) > 1 THEN p[2] END AS relation, CAST(len(p) AS INT) AS fields, array_to_string(list_filter(p[3:], lambda x, i: i % 2 = 1), ',') AS members, array_to_string(list_filter(p[3:], lambda x, i: i % 2 = 0), ',') AS qualifiers FROM f"

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import agreement, cluster, neighbours as nb
+from ..functions.state import cut
+from ..operators import agreement, cluster, distances, neighbours as nb, records
 from ..sources.collections import EVENT_SQL, event_incidence, table
 from .registry import query
 
@@ -113,7 +114,7 @@ def kruskal_stress(spark: SparkSession, sf_dir: str) -> DataFrame:
     "rank() OVER (ORDER BY h) + (count(*) OVER (PARTITION BY h) - 1) / 2.0::DOUBLE AS y FROM dist) SELECT round(corr(x, y), 6) AS spearman FROM r"
 )
 def spearman_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return agreement.spearman(_dist(spark, sf_dir), "d", "h").select(F.round("spearman", 6).alias("spearman"))
+    return agreement.spearman(cut(_dist(spark, sf_dir)), "d", "h").select(F.round("spearman", 6).alias("spearman"))
 
 
 @query(
@@ -245,13 +246,10 @@ def pair_size_l1(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT p.i, p.j, CAST(sum(abs(coalesce(x.d, 0) - coalesce(y.d, 0))) AS BIGINT) AS degree_l1 FROM p, v LEFT JOIN deg x ON x.hg = p.i AND x.v = v.v LEFT JOIN deg y ON y.hg = p.j AND y.v = v.v GROUP BY p.i, p.j"
 )
 def pair_degree_l1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Difference of the constants' degrees, summed, from one map of degrees for each record."""
-    inc = event_incidence(spark, sf_dir)
-    deg = inc.groupBy("hg", "v").agg(F.count("*").alias("d")).groupBy("hg").agg(F.map_from_entries(F.collect_list(F.struct("v", "d"))).alias("ds"))
-    keys = F.array_union(F.map_keys("q.ds"), F.map_keys("x.ds"))
-    gap = lambda k: F.abs(F.coalesce(F.col("q.ds")[k], F.lit(0)) - F.coalesce(F.col("x.ds")[k], F.lit(0)))
-    total = F.aggregate(keys, F.lit(0).cast("long"), lambda done, k: done + gap(k))
-    return nb.against_all(deg, "hg").select("i", "j", total.alias("degree_l1"))
+    """Difference of the constants' degrees, summed: a constant of degree d stands for d items, (v, 1) to (v, d)."""
+    deg = event_incidence(spark, sf_dir).groupBy("hg", "v").agg(F.count("*").alias("d"))
+    items = deg.select("hg", "v", F.explode(F.sequence(F.lit(1), F.col("d").cast("int"))).alias("n")).select("hg", F.struct("v", "n").alias("item"))
+    return distances.set_differences(items, "hg", "item").select("i", "j", F.col("apart").alias("degree_l1"))
 
 
 @query(
@@ -261,27 +259,57 @@ def pair_degree_l1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pair_fact_symdiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts that only one of two records asserts."""
     facts = event_incidence(spark, sf_dir).groupBy("hg", "e").agg(F.array_join(F.sort_array(F.collect_list("v")), ",").alias("f"))
-    sets = facts.groupBy("hg").agg(F.collect_set("f").alias("fs"))
-    apart = F.size(F.array_except("q.fs", "x.fs")) + F.size(F.array_except("x.fs", "q.fs"))
-    return nb.against_all(sets, "hg").select("i", "j", apart.cast("long").alias("apart"))
+    return distances.set_differences(facts.select("hg", "f").distinct(), "hg", "f")
 
 
-@query("SELECT q.s_suppkey AS i, x.p_partkey AS j, CAST(levenshtein(substr(q.s_name, 1, 12), substr(x.p_brand || x.p_type, 1, 12)) AS INTEGER) AS d FROM supplier q JOIN part x ON TRUE WHERE q.s_suppkey % 100 = 0")
-def pair_levenshtein(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edit distances of query names against all short part words."""
-    queries = table(spark, sf_dir, "supplier").where("s_suppkey % 100 = 0").select(F.col("s_suppkey").alias("i"), F.substring("s_name", 1, 12).alias("a"))
-    words = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("j"), F.substring(F.concat("p_brand", "p_type"), 1, 12).alias("b"))
-    return nb.in_blocks(queries, words).select("i", "j", F.levenshtein("a", "b").alias("d"))
+@query(f"WITH {DIST_SQL}, b AS (SELECT i, min(d) AS best FROM dist GROUP BY i), t AS (SELECT dist.* FROM dist JOIN b USING (i) WHERE d = best) SELECT i, lj AS label, round(count(*) / (sum(count(*)) OVER (PARTITION BY i))::DOUBLE, 6) AS p FROM t GROUP BY i, lj")
+def nearest_label_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chance of each label for each query's nearest row, ties drawn by chance."""
+    return nb.label_probabilities(_dist(spark, sf_dir)).select("i", F.col("lj").alias("label"), F.round("p", 6).alias("p"))
+
+
+@query(
+    f"WITH {DIST_SQL}, b AS (SELECT i, min(d) AS best FROM dist GROUP BY i), t AS (SELECT dist.* FROM dist JOIN b USING (i) WHERE d = best), p AS (SELECT i, li, lj, count(*) / (sum(count(*)) OVER (PARTITION BY i))::DOUBLE AS p FROM t GROUP BY i, li, lj), "
+    "o AS (SELECT li AS label, count(DISTINCT i) AS n, coalesce(sum(p) FILTER (li = lj), 0) AS tp FROM p GROUP BY li), w AS (SELECT lj AS label, sum(p) AS told FROM p GROUP BY lj) "
+    "SELECT CAST(sum(n) AS BIGINT) AS queries, round(sum(tp) / sum(n), 6) AS accuracy, round(avg(2 * tp / (coalesce(told, 0) + n)), 6) AS macro_f1 FROM o LEFT JOIN w USING (label)"
+)
+def expected_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected accuracy and macro F1 of the nearest row's label."""
+    found = nb.expected_scores(nb.label_probabilities(_dist(spark, sf_dir)))
+    return found.select("queries", F.round("accuracy", 6).alias("accuracy"), F.round("macro_f1", 6).alias("macro_f1"))
+
+
+@query(f"WITH {DIST_SQL} SELECT round(min(d) FILTER (li <> lj), 6) AS between, round(max(d) FILTER (li = lj), 6) AS within, round(min(d) FILTER (li <> lj) / max(d) FILTER (li = lj), 6) AS dunn FROM dist")
+def dunn_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far apart labels are against how wide they are, from the query rows."""
+    return nb.separation(_dist(spark, sf_dir)).select(*[F.round(c, 6).alias(c) for c in ("between", "within", "dunn")])
+
+
+@query(
+    f"WITH {KB_SQL}, key AS (SELECT hg, string_agg(f, ';' ORDER BY f) AS key FROM s GROUP BY hg), p AS (SELECT abs(a.m - b.m) AS d, x.key = y.key AS same FROM kb a JOIN kb b ON a.hg <> b.hg JOIN key x ON x.hg = a.hg JOIN key y ON y.hg = b.hg WHERE a.hg % 100 = 0) "
+    "SELECT count(*) FILTER (d = 0) AS zero_pairs, count(*) FILTER (d = 0 AND NOT same) AS false_zeros, count(*) FILTER (d <> 0 AND same) AS equal_pairs_apart FROM p"
+)
+def zero_pair_census(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many pairs of query records and others the size distance can't tell apart, and how many of those differ."""
+    inc = event_incidence(spark, sf_dir)
+    sizes = inc.select("hg", "e").distinct().groupBy("hg").agg(F.count("*").alias("m"))
+    return distances.zero_pairs(sizes.join(records.fact_keys(inc), "hg"), "hg", "m", "key")
 
 
 @query("SELECT q.s_suppkey AS i, x.p_partkey AS j, CAST(levenshtein(q.s_name, x.p_brand || x.p_type) AS INTEGER) AS d FROM supplier q JOIN part x ON TRUE WHERE q.s_suppkey % 100 = 0")
-def pair_levenshtein_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edit distances of whole query names against all whole part words; pair_levenshtein has their first 12 characters only."""
+def pair_levenshtein(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edit distances of whole query names against all whole part words."""
     queries = table(spark, sf_dir, "supplier").where("s_suppkey % 100 = 0").select(F.col("s_suppkey").alias("i"), F.col("s_name").alias("a"))
     words = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("j"), F.concat("p_brand", "p_type").alias("b"))
     return nb.in_blocks(queries, words).select("i", "j", F.levenshtein("a", "b").alias("d"))
 
 
+@query("SELECT q.s_suppkey AS i, x.p_partkey AS j, CAST(levenshtein(q.s_name, x.p_brand || x.p_type) AS INTEGER) AS d FROM supplier q JOIN part x ON TRUE WHERE q.s_suppkey % 100 = 0")
+def pair_levenshtein_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as ``pair_levenshtein``, under the name that whole strings had when that one cut them."""
+    return pair_levenshtein(spark, sf_dir)
+
+
 @query(
     "WITH g AS (SELECT lang, count(*) AS n, count(*) FILTER (quality = 1) AS good FROM documents JOIN labels USING (doc_id) GROUP BY lang) "
     "SELECT lang, n, good, round((good + 1.9208) / (n + 3.8416) - 1.96 * sqrt(good * (n - good)::DOUBLE / n + 0.9604) / (n + 3.8416), 6) AS low, "

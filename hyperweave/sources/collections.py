@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
-#: More days than a record's key has to tell apart: those of 270 years from 1970 on.
-DAYS = 100_000
+#: More days than a record's key has to tell apart: those of 270 years from 1970 on (a prime, so keys spread evenly).
+DAYS = 100_003
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +49,6 @@ CUSTOMER_SQL = (
     "FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
 )
 EVENT_SQL = (
-    "inc AS (SELECT DISTINCT user_id * 100000 + (CAST(ts AS DATE) - DATE '1970-01-01') AS hg, user_id, CAST(ts AS DATE) AS day, hour(ts) AS e, "
+    "inc AS (SELECT DISTINCT user_id * 100003 + (CAST(ts AS DATE) - DATE '1970-01-01') AS hg, user_id, CAST(ts AS DATE) AS day, hour(ts) AS e, "
     "event_type AS v FROM events)"
 )

@@ -123,6 +123,8 @@ def test_folds_are_even(spark):
 
 
 def test_bootstrap_covers_the_mean(spark):
-    rows = [("a", float(i % 10)) for i in range(400)]
-    r = st.bootstrap_mean(spark.createDataFrame(rows, "k string, v double"), "k", "v", 60, 1).collect()[0]
+    rows = [("a", float(i % 10), i) for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, v double, id long")
+    r = st.bootstrap_mean(df, "k", "v", "id", 60, 1).collect()[0]
+    assert st.bootstrap_mean(df.repartition(7), "k", "v", "id", 60, 1).collect()[0] == r
     assert r.low < r.mean < r.high and r.high - r.low < 1.0

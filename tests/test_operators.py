@@ -95,8 +95,13 @@ def test_canonical_word_is_a_complete_invariant():
     assert len(set(seen.values())) == len(seen)
 
 
+def test_alike_constants_need_one_branch():
+    assert canonical_word([0] * 12, [(0, tuple(range(12)))], max_leaves=1) == " ".join(["T0"] * 12 + ["F0(0,1,2,3,4,5,6,7,8,9,10,11)"])
+
+
 def test_canonical_word_gives_up_beyond_its_bound():
-    assert canonical_word([0] * 6, [], max_leaves=5) is None
+    cycle = [(0, tuple(sorted((k, (k + 1) % 7)))) for k in range(7)]
+    assert canonical_word([0] * 7, cycle, max_leaves=5) is None and canonical_word([0] * 7, cycle)
 
 
 def test_nearest_rank_matches_sorting(spark):
