@@ -90,4 +90,23 @@ QUERIES = {
     "op9_chat": op9_chat,
     "op10_bpe": op10_bpe,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op4_embeddings": (
+        "WITH RECURSIVE e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), "
+        "ok AS (SELECT * FROM e WHERE len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0), "
+        "l AS (SELECT a.vec_id AS i, b.vec_id AS j FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.9), "
+        "reach AS (SELECT vec_id AS i, vec_id AS j FROM e UNION SELECT r.i, l.j FROM reach r JOIN l ON l.i = r.j), "
+        "n AS (SELECT i, count(*) AS n FROM l GROUP BY i), c AS (SELECT i, min(j) AS c FROM reach GROUP BY i) "
+        "SELECT e.vec_id, coalesce(n.n, 0) AS n_links, c.c AS component_id, e.vec_id = c.c AS kept FROM e JOIN c ON c.i = e.vec_id LEFT JOIN n ON n.i = e.vec_id"
+    ),
+    "op9_chat": (
+        "WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations "
+        "UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')), "
+        "t AS (SELECT *, length(text) + length(regexp_replace(text, '[^\\\\<\\[]', '', 'g')) AS said, "
+        "CASE WHEN role IN ('user', 'system', 'assistant') THEN 15 ELSE 18 + length(role) + length(regexp_replace(role, '[^\\\\<\\[>]', '', 'g')) END AS marks FROM c) "
+        "SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256, "
+        "CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, "
+        "sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, "
+        "CAST(7 + sum(said + marks) AS BIGINT) AS formatted_chars FROM t GROUP BY conv_id"
+    ),
+}

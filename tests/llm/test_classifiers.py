@@ -116,3 +116,11 @@ def test_odd_rows(spark):
 
 def test_no_language_learned_keeps_all_documents(spark):
     assert langid.known(odd(spark), langid.fit(empty(spark))).count() == odd(spark).count() > 0
+
+
+def test_more_languages_than_a_byte_counts():
+    r = np.random.default_rng(8)
+    words = ["".join(chr(97 + c) for c in r.integers(0, 26, 9)) for _ in range(200 * 12)]
+    rows = [(" ".join(words[12 * k : 12 * k + 12] * 3), f"l{k:03d}") for k in range(200)]
+    model = langid.LanguageModel(rows)
+    assert model.predict([t for t, _ in rows])[0] == [lang for _, lang in rows]
