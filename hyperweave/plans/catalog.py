@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import details, edits, graphs, language, matrices, measures, sequences, temporal  # noqa: F401  they register their queries
+from . import details, edits, graphs, language, matrices, measures, reports, sequences, temporal  # noqa: F401  they register their queries
 from .registry import QUERIES, SQL
 
 

@@ -216,12 +216,15 @@ def corrupt_wrong_argument(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edits.exchange_picked_argument(customer_incidence(spark, sf_dir), 11)
 
 
-@query(
-    f"WITH RECURSIVE {EVENT_SQL}, a AS (SELECT hg, e, count(*) AS a FROM inc GROUP BY hg, e), reach AS (SELECT hg, min(v) AS v FROM inc GROUP BY hg UNION SELECT x.hg, y.v FROM reach r JOIN inc x ON x.hg = r.hg AND x.v = r.v JOIN inc y ON y.hg = x.hg AND y.e = x.e), "
+VERDICT_SQL = (
+    f"{EVENT_SQL}, a AS (SELECT hg, e, count(*) AS a FROM inc GROUP BY hg, e), reach AS (SELECT hg, min(v) AS v FROM inc GROUP BY hg UNION SELECT x.hg, y.v FROM reach r JOIN inc x ON x.hg = r.hg AND x.v = r.v JOIN inc y ON y.hg = x.hg AND y.e = x.e), "
     "n AS (SELECT hg, count(DISTINCT v) AS n FROM inc GROUP BY hg), k AS (SELECT hg, count(*) AS k FROM reach GROUP BY hg), s AS (SELECT hg, min(a) AS least, count(*) AS facts FROM a GROUP BY hg), "
-    f"u AS (SELECT hg, count(DISTINCT f) AS kept FROM (SELECT hg, string_agg(v, ',' ORDER BY v) AS f FROM inc GROUP BY hg, e) GROUP BY hg) "
-    "SELECT hg, facts, kept, CASE WHEN least < 2 THEN 'unary' WHEN k < n THEN 'disconnected' ELSE 'accepted' END AS verdict FROM s JOIN u USING (hg) JOIN n USING (hg) JOIN k USING (hg)"
+    "u AS (SELECT hg, count(DISTINCT f) AS kept FROM (SELECT hg, string_agg(v, ',' ORDER BY v) AS f FROM inc GROUP BY hg, e) GROUP BY hg), "
+    "verdict AS (SELECT hg, facts, kept, CASE WHEN least < 2 THEN 'unary' WHEN k < n THEN 'disconnected' ELSE 'accepted' END AS verdict FROM s JOIN u USING (hg) JOIN n USING (hg) JOIN k USING (hg))"
 )
+
+
+@query(f"WITH RECURSIVE {VERDICT_SQL} SELECT hg, facts, kept, verdict FROM verdict")
 def record_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which records are accepted, or why not, and how many facts stay without repetitions."""
     return edits.verdicts(event_incidence(spark, sf_dir))

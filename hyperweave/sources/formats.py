@@ -66,3 +66,24 @@ def simplices(rows: DataFrame) -> DataFrame:
     start = F.aggregate(F.slice("nverts", F.lit(1), F.col("sid")), F.lit(0), lambda done, n: done + n.cast("int"))
     members = F.slice("flat", start + 1, F.col("z.nverts").cast("int"))
     return cut.select("sid", F.col("z.times").alias("ts"), F.array_sort(F.array_distinct(members)).alias("members"))
+
+
+def to_hif(inc: DataFrame, vertex_label: str, edge_label: str) -> DataFrame:
+    """(hg, value): each hypergraph as a hypergraph interchange document, its nodes, edges and incidences in order.
+
+    The labels are numbers of columns of ``inc``; the numbers of labels are those up to the largest in use. A document
+    is as large as its hypergraph.
+    """
+    node = F.struct(F.col("v").alias("node"), F.struct(F.col(vertex_label).alias("label")).alias("attrs"))
+    edge = F.struct(F.col("e").alias("edge"), F.struct(F.col(edge_label).alias("label")).alias("attrs"))
+    met = F.array_sort(F.collect_list(F.struct("e", "v")))
+    rows = inc.groupBy("hg").agg(
+        F.array_sort(F.collect_set(node)).alias("nodes"), F.array_sort(F.collect_set(edge)).alias("edges"), met.alias("met"),
+        (F.max(vertex_label) + 1).alias("n_vertex_labels"), (F.max(edge_label) + 1).alias("n_edge_labels"),
+    )
+    sizes = [F.size("nodes").alias("n_nodes"), F.size("edges").alias("n_edges")]
+    incidences = F.transform("met", lambda x: F.struct(x["v"].alias("node"), x["e"].alias("edge"))).alias("incidences")
+    doc = F.struct(
+        F.lit("undirected").alias("network-type"), F.struct("n_vertex_labels", "n_edge_labels", *sizes).alias("metadata"), "nodes", "edges", incidences
+    )
+    return rows.select("hg", F.to_json(doc).alias("value"))
