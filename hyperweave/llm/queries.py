@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, decontaminate, embeddings, htmlextract, langid, quality, simhash, toxicity, wavelet
+from . import bpe, chat, decontaminate, embeddings, filteraudit, htmlextract, langid, quality, repair, simhash, sqltexts, topk, toxicity, wavelet
 from .common import in_fold
 
 
@@ -78,6 +78,18 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded_digests(_read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op11_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_read(spark, sf_dir, "embeddings"))
+
+
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repaired(_read(spark, sf_dir, "conversations"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.audited(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_html": op2_html,
@@ -89,6 +101,9 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_chat": op9_chat,
     "op10_bpe": op10_bpe,
+    "op11_topk": op11_topk,
+    "op12_repair": op12_repair,
+    "op13_filter_audit": op13_filter_audit,
 }
 SQL: dict[str, str] = {
     "op4_embeddings": (
@@ -109,4 +124,7 @@ SQL: dict[str, str] = {
         "sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, "
         "CAST(7 + sum(said + marks) AS BIGINT) AS formatted_chars FROM t GROUP BY conv_id"
     ),
+    "op11_topk": sqltexts.TOP_K,
+    "op12_repair": sqltexts.REPAIR,
+    "op13_filter_audit": sqltexts.FILTER_AUDIT,
 }

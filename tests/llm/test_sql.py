@@ -7,7 +7,7 @@ from hyperweave.llm import queries
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_query_matches_sql(name, spark, sf_dir):
     con = duckdb.connect()
-    for t in ("embeddings", "conversations"):
+    for t in ("embeddings", "conversations", "documents", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     found = con.execute(queries.SQL[name])
     names = [d[0] for d in found.description]
