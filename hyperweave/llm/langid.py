@@ -35,11 +35,11 @@ SWITCH = 12.0
 SCRIPT_SHARE = 1e-3
 #: Languages that are learned at most, those with the most characters.
 MAX_LANGS = 1000
-#: Characters that the model is fitted on, and those of the longest text among them.
+#: Characters that the model is fitted on, and those that one text gives at most.
 TRAIN_CHARS = 4_000_000
 MAX_CHARS = 50_000
-#: Characters whose words are scored at once, and whose paths are searched together.
-SLICE, GROUP = 250_000, 5_000_000
+#: Characters times languages whose words are scored at once, and whose paths are searched together.
+SLICE, GROUP = 1_000_000, 10_000_000
 
 
 @lru_cache(1)
@@ -165,8 +165,10 @@ class LanguageModel:
             k = self.langs.index(lang)
             np.add.at(counts[:, k], _grams(low)[inside], 1)
             scripts[:, k] += np.bincount(_script(low[inside]), minlength=SCRIPTS)
-        shares = (counts + 0.05) / (counts.sum(axis=0) + 0.05 * BUCKETS)
-        self.logp = np.log(shares).astype(np.float32)
+        total = counts.sum(axis=0) + 0.05 * BUCKETS
+        counts += 0.05
+        counts /= total
+        self.logp = np.log(counts, out=counts).astype(np.float32)
         self.may = scripts >= SCRIPT_SHARE * np.maximum(1, scripts.sum(axis=0))
         self.may[~self.may.any(axis=1)] = True
 
@@ -174,7 +176,7 @@ class LanguageModel:
         """The language of every text and a score from 0 to 1."""
         names, scores = ["und"] * len(texts), [0.0] * len(texts)
         texts = [t or "" for t in texts]
-        for at, to in _slices(texts, GROUP) if self.langs else ():
+        for at, to in _slices(texts, max(1, GROUP // len(self.langs))) if self.langs else ():
             for k, share in enumerate(self.shares(texts[at:to])):
                 if share is not None:
                     best = int(share.argmax())
@@ -195,23 +197,59 @@ class LanguageModel:
     def _scored(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(scores, text, letters) of each word of a slice of texts."""
         low, starts, ends, doc = _words(texts)
+        return self._points(low, _grams(low), starts, ends), doc, ends - starts
+
+    def _points(self, low: np.ndarray, grams: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The score of each word in each language, from the letters and trigrams around them."""
         if not len(starts):
-            return np.zeros((0, len(self.langs))), doc, ends - starts
+            return np.zeros((0, len(self.langs)))
+        first, last = starts[0], min(ends[-1] + 1, len(low))
         bounds = np.empty(2 * len(starts), np.int64)
-        bounds[0::2], bounds[1::2] = starts, ends
-        bounds = np.minimum(bounds, len(low) - 1)
-        points = self.logp[_grams(low)]
-        scores = np.add.reduceat(points, bounds, axis=0)[0::2].astype(np.float64)
-        allowed = self.may[_script(low[starts])]
-        scores[~allowed] -= 1e3
-        return scores, doc, ends - starts
+        bounds[0::2], bounds[1::2] = starts - first, ends - first
+        bounds = np.minimum(bounds, last - first - 1)
+        scores = np.add.reduceat(self.logp[grams[first:last]], bounds, axis=0)[0::2].astype(np.float64)
+        scores[~self.may[_script(low[starts])]] -= 1e3
+        return scores
 
     def _label(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(label, text, letters) of each word: scores slice by slice, one path search over all of them."""
-        parts = [(at, self._scored(texts[at:to])) for at, to in _slices(texts, SLICE)]
+        if len(texts) == 1 and len(texts[0]) * len(self.langs) > GROUP:
+            return self._long(texts[0])
+        parts = [(at, self._scored(texts[at:to])) for at, to in _slices(texts, max(1, SLICE // len(self.langs)))]
         scores, doc, size = (np.concatenate(x) for x in zip(*[(s, d + at, n) for at, (s, d, n) in parts]))
         return viterbi(scores, doc, len(texts), SWITCH), doc, size
 
+    def _long(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``_label`` of one text too long for its scores to be held: they are made as the search goes on, which keeps a
+        bit for each word and language (whether the path stays) and the best language before each word."""
+        low, starts, ends, doc = _words([text])
+        grams = _grams(low)
+        n, labels = len(starts), len(self.langs)
+        stay = np.zeros((n, -(-labels // 8)), np.uint8)
+        best = np.zeros(n, np.int16)
+        total = np.zeros(labels)
+        edges = np.searchsorted(starts, np.arange(0, len(low) + 1, max(1, SLICE // labels)))
+        for a, b in zip(edges, np.append(edges[1:], n)):
+            for at in range(a, b, max(1, SLICE // labels)):
+                to = min(b, at + max(1, SLICE // labels))
+                scores = self._points(low, grams, starts[at:to], ends[at:to])
+                kept = np.ones(scores.shape, bool)
+                for t in range(at, to):
+                    if t:
+                        jump = total.max() - SWITCH
+                        np.greater_equal(total, jump, out=kept[t - at])
+                        best[t] = total.argmax()
+                        np.maximum(total, jump, out=total)
+                    total += scores[t - at]
+                stay[at:to] = np.packbits(kept, axis=1)
+        found = np.zeros(n, np.int16)
+        now = int(total.argmax())
+        for t in range(n - 1, -1, -1):
+            found[t] = now
+            if not stay[t, now >> 3] >> (7 - (now & 7)) & 1:
+                now = int(best[t])
+        return found, doc, ends - starts
+
     def guess(self, texts: list[str]) -> np.ndarray:
         """The best language of each text as a whole, by number (0 without letters)."""
         low, starts, _, doc = _words(texts)
@@ -234,20 +272,25 @@ class LanguageModel:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
     """Fit a model on a bounded sample: about TRAIN_CHARS characters, shared evenly by the languages.
 
-    A hash of the id picks the rows, so the sample is the same on every run; texts beyond MAX_CHARS are not
-    taken into the sample. Only counts for MAX_LANGS languages and the sample itself reach the driver.
+    A hash of the id picks the rows, so the sample is the same on every run; of each language its first row by that
+    hash is always taken. A longer text teaches by its first MAX_CHARS characters. Only counts for MAX_LANGS languages,
+    those with the most characters, and the sample itself reach the driver.
     """
-    rows = docs.select(
-        F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.length(text_col).alias("n")
-    ).where(F.col("lang").isNotNull() & F.col("n").between(1, MAX_CHARS))
+    excerpt = F.substring(F.col(text_col), 1, MAX_CHARS)
+    rows = docs.select(F.col(id_col).alias("id"), excerpt.alias("text"), F.col(lang_col).alias("lang"), F.length(excerpt).alias("n"))
+    rows = rows.where(F.col("lang").isNotNull() & (F.col("n") > 0))
     most = rows.groupBy("lang").agg(F.sum("n").alias("chars")).orderBy(F.desc("chars"), "lang").limit(MAX_LANGS)
     sizes = {r.lang: r.chars for r in most.collect()}
     if not sizes:
         return LanguageModel([])
     share = F.create_map(*[F.lit(x) for k, v in sizes.items() for x in (k, TRAIN_CHARS / len(sizes) / v)])
     chance = F.pmod(stable_order("id"), F.lit(1 << 20)) / F.lit(1 << 20)
-    picked = rows.where(chance < share[F.col("lang")]).select("text", "lang").collect()
-    return LanguageModel([(r.text, r.lang) for r in picked])
+    picked = [(r.text, r.lang) for r in rows.where(chance < share[F.col("lang")]).select("text", "lang").collect()]
+    missed = sorted(set(sizes) - {lang for _, lang in picked})
+    if missed:
+        first = rows.where(F.col("lang").isin(missed)).groupBy("lang").agg(F.min_by("text", F.struct(stable_order("id"), "text")).alias("text"))
+        picked += [(r.text, r.lang) for r in first.collect()]
+    return LanguageModel(picked)
 
 
 def identify(

@@ -124,3 +124,44 @@ def test_more_languages_than_a_byte_counts():
     rows = [(" ".join(words[12 * k : 12 * k + 12] * 3), f"l{k:03d}") for k in range(200)]
     model = langid.LanguageModel(rows)
     assert model.predict([t for t, _ in rows])[0] == [lang for _, lang in rows]
+
+
+def test_convolution_and_pooling_equal_naive_loops():
+    m = toxicity.ToxicityModel()
+    r = np.random.default_rng(3)
+    for p in (m.emb, *m.conv, m.bias, m.top):
+        p[...] = r.normal(size=p.shape) * 0.3
+    m.emb[0] = 0
+    texts = ["one", "a b c d e f g", "", "the quick brown fox jumps over the lazy dog " * 3]
+    got = m.margin(texts)
+    widest = max(toxicity.WIDTHS)
+    for text, margin in zip(texts, got):
+        words, windows = toxicity.padded(*toxicity.word_buckets([text]), 1)
+        vectors = [sum(m.emb[b].astype(float) for b in word) for word in words]
+        total = float(m.cut)
+        for i, w in enumerate(toxicity.WIDTHS):
+            for f in range(toxicity.FILTERS):
+                at = [sum(float(vectors[p + j] @ m.conv[i][j][:, f]) for j in range(w)) for p in range(windows[0][0], min(windows[0][1], len(vectors) - widest + 1))]
+                total += max(0.0, max(at) + float(m.bias[i * toxicity.FILTERS + f])) * float(m.top[i * toxicity.FILTERS + f])
+        assert margin == pytest.approx(total, rel=1e-3, abs=1e-3)
+
+
+def test_a_long_text_is_labelled_alike_in_bounded_memory(monkeypatch):
+    words = {"aa": "blau gelb rot haus", "bb": "house green river stone", "cc": "maison verte pierre eau"}
+    m = langid.LanguageModel([(w * 5, k) for k, w in words.items()])
+    r = np.random.default_rng(5)
+    text = " ".join(" ".join(r.choice(list(words.values())).split()) for _ in range(400))
+    whole = m._label([text])[0]
+    assert len(set(whole)) == 3
+    monkeypatch.setattr(langid, "SLICE", 100)
+    assert (m._long(text)[0] == whole).all()
+    monkeypatch.setattr(langid, "GROUP", 100)
+    assert (m._label([text])[0] == whole).all()
+    assert m.predict([text, "", None])[0][1:] == ["und", "und"]
+
+
+def test_every_language_is_learned_however_small_or_long_its_texts(spark):
+    rows = [(k, "the common language of most of the rows " * 20, "en") for k in range(300)]
+    rows += [(1000, "ein kleiner satz", "de"), (1001, "une phrase tres longue " * 5000, "fr")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert langid.fit(docs).langs == ["de", "en", "fr"]
