@@ -176,14 +176,14 @@ def mi_binned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "WITH d AS (SELECT event_type, event_id, value, unnest(range(1, 21)) AS draw FROM events), u AS (SELECT *, ('0x' || substr(md5(event_id || '|' || draw || '|7'), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM d), "
+    "WITH d AS (SELECT event_type, event_id, value, unnest(range(1, 101)) AS draw FROM events), u AS (SELECT *, ('0x' || substr(md5(event_id || '|' || draw || '|7'), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM d), "
     "w AS (SELECT event_type, draw, value, (u >= 0.36787944)::INT + (u >= 0.73575888)::INT + (u >= 0.91969860)::INT + (u >= 0.98101184)::INT + (u >= 0.99634015)::INT + (u >= 0.99940582)::INT AS w FROM u), "
     "m AS (SELECT event_type, draw, sum(w * value) / sum(w) AS m FROM w GROUP BY ALL), q AS (SELECT event_type, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM m GROUP BY event_type) "
     "SELECT event_type, round(avg(value), 6) AS mean, round(any_value(low), 6) AS low, round(any_value(high), 6) AS high FROM events JOIN q USING (event_type) GROUP BY event_type"
 )
 def bootstrap_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Resampled interval of the mean value of each kind of event."""
-    found = st.bootstrap_mean(table(spark, sf_dir, "events").select("event_type", "value", "event_id"), "event_type", "value", "event_id", 20, 7)
+    found = st.bootstrap_mean(table(spark, sf_dir, "events").select("event_type", "value", "event_id"), "event_type", "value", "event_id", 100, 7)
     return found.select("event_type", *[F.round(c, 6).alias(c) for c in ("mean", "low", "high")])
 
 
