@@ -24,6 +24,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from hyperweave.functions.state import written
+
 FILTERS = "ABCDE"
 #: White space of words, marks of filter D (fixed values).
 SPACE, MARKS, CAPITALS = r"[\x20\x09-\x0D]+", "[#$%&*|]", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -53,7 +55,7 @@ def classes(docs: DataFrame, labels: DataFrame) -> DataFrame:
     said = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
     said = said.agg(F.max((F.col("quality") == 1).cast("int")).alias("good"), F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
     rows = rows.join(said, "doc_id", "left").fillna(0, ["good", "toxic"])
-    known = rows.groupBy("digest", "doc_id", "part", "mask", "good", "toxic").agg(F.count("*").alias("n"))
+    known = written(rows.groupBy("digest", "doc_id", "part", "mask", "good", "toxic").agg(F.count("*").alias("n")))
     each = F.struct("part", "mask", "good", "toxic", "n")
     # One id's rows of one text differ by their parts only.
     own = known.where("doc_id is not null").groupBy("digest", "doc_id").agg(F.collect_list(each).alias("own"))
