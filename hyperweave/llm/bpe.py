@@ -40,7 +40,7 @@ from .common import give_back
 BYTES_AT_ONCE = 150_000
 CHARS_AT_ONCE = 4_000_000
 #: Blank-separated pieces, and pieces of words, that a worker keeps from one stretch to the next.
-KEPT_PIECES, KEPT_PARTS = 250_000, 300_000
+KEPT_PIECES, KEPT_PARTS = 120_000, 150_000
 #: What the database may hold, and bytes of it for each byte of a word that is taken alone.
 MEMORY, MEMORY_PER_BYTE = 200_000_000, 1200
 #: Longer pieces contract several pairs in one round.
