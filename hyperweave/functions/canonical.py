@@ -2,8 +2,9 @@
 
 Records that are isomorphic get the same word. Refinement by colours (degrees, then rounds of sorted multisets)
 cuts constants into cells; the search tries the orders within cells, individualising one constant at a time and
-refining again. Constants that can change places without changing any fact are alike: of those one is tried. The
-search is bounded by a number of leaves; beyond it the record is censored (null word) and stands alone.
+refining again. Constants that can change places without changing any fact are alike: of those one is tried, and one of
+those that an automorphism found on the way takes to each other. The search is bounded by a number of leaves, which
+block designs of some dozen constants don't come near; beyond it the record is censored (null word) and stands alone.
 """
 
 from __future__ import annotations
@@ -49,32 +50,86 @@ def alike(facts: list[Fact], u: int, v: int) -> bool:
     return {(p, tuple(sorted(change.get(w, w) for w in m))) for p, m in own} == {(p, tuple(sorted(m))) for p, m in own}
 
 
-def canonical_word(types: list[int], facts: list[Fact], max_leaves: int = MAX_LEAVES) -> str | None:
-    """The least word (facts compared as tuples) over all leaves of the refinement tree, None beyond the bound."""
-    n, best, leaves = len(types), None, 0
-    stack = [refine(n, facts, list(types))]
-    while stack:
-        colour = stack.pop()
+def _orbits(n: int, autos: list[list[int]], fixed: list[int]) -> list[int]:
+    """For each constant the least one of its orbit under the automorphisms found that fix ``fixed``."""
+    least = list(range(n))
+
+    def top(v: int) -> int:
+        while least[v] != v:
+            v = least[v]
+        return v
+
+    for auto in autos:
+        if all(auto[v] == v for v in fixed):
+            for v, w in enumerate(auto):
+                v, w = top(v), top(w)
+                least[max(v, w)] = min(v, w)
+    return [top(v) for v in range(n)]
+
+
+class _Censored(Exception):
+    pass
+
+
+def canonical_form(types: list[int], facts: list[Fact], max_leaves: int = MAX_LEAVES) -> tuple[str | None, list[int]]:
+    """(word, rank of each constant): the least word over all leaves of the refinement tree, None beyond the bound.
+
+    Two leaves of equal facts tell an automorphism. It takes one branch to the other at the node where their paths part, so
+    the later branch is left at once, and of the constants of one orbit (under those that fix the path to a node) only
+    one is tried.
+    """
+    n = len(types)
+    if not n:
+        return "", []
+    autos: list[list[int]] = []
+    kept: list[tuple] = []  # the first leaf, and the best: (facts, colour, path)
+    leaves = 0
+
+    def leaf(colour: list[int], path: list[int]) -> int:
+        nonlocal leaves
+        leaves += 1
+        if leaves > max_leaves:
+            raise _Censored
+        named = (tuple(types[v] for v in sorted(range(n), key=colour.__getitem__)), sorted({(p, tuple(sorted(colour[v] for v in m))) for p, m in facts}))
+        for other, ranks, way in kept:
+            if other == named:
+                here = {c: v for v, c in enumerate(colour)}
+                autos.append([here[c] for c in ranks])
+                return next((k for k, (u, v) in enumerate(zip(path, way)) if u != v), len(path))
+        if not kept:
+            kept.extend([(named, colour, path)] * 2)
+        elif named < kept[1][0]:
+            kept[1] = (named, colour, path)
+        return len(path)
+
+    def search(colour: list[int], path: list[int]) -> int:
         cells: dict[int, list[int]] = {}
         for v, c in enumerate(colour):
             cells.setdefault(c, []).append(v)
-        open_cells = [c for c in sorted(cells) if len(cells[c]) > 1]
-        if not open_cells:
-            leaves += 1
-            if leaves > max_leaves:
-                return None
-            named = (tuple(types[v] for v in sorted(range(n), key=colour.__getitem__)), sorted({(p, tuple(sorted(colour[v] for v in m))) for p, m in facts}))
-            if best is None or named < best[0]:
-                best = (named, colour)
-            continue
+        open_cell = next((c for c in sorted(cells) if len(cells[c]) > 1), None)
+        if open_cell is None:
+            return leaf(colour, path)
         tried: list[int] = []
-        for v in cells[open_cells[0]]:
-            if any(alike(facts, u, v) for u in tried):
+        for v in cells[open_cell]:
+            orbit = _orbits(n, autos, path)
+            if any(orbit[u] == orbit[v] or alike(facts, u, v) for u in tried):
                 continue
             tried.append(v)
-            split = [2 * c + (c == open_cells[0] and w != v) for w, c in enumerate(colour)]
-            stack.append(refine(n, facts, split))
-    return word(types, facts, best[1]) if best else ""
+            split = [2 * c + (c == open_cell and w != v) for w, c in enumerate(colour)]
+            back = search(refine(n, facts, split), [*path, v])
+            if back < len(path):
+                return back
+        return len(path)
+
+    try:
+        search(refine(n, facts, list(types)), [])
+    except _Censored:
+        return None, []
+    return word(types, facts, kept[1][1]), kept[1][1]
+
+
+def canonical_word(types: list[int], facts: list[Fact], max_leaves: int = MAX_LEAVES) -> str | None:
+    return canonical_form(types, facts, max_leaves)[0]
 
 
 def canonical_words(inc: DataFrame) -> DataFrame:
