@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignments, details, edits, graphs, language, matrices, measures, ngrams, reports, sequences, temporal  # noqa: F401  they register their queries
+from . import alignments, details, edits, graphs, language, linkage, matrices, measures, ngrams, reports, sequences, temporal  # noqa: F401  they register their queries
 from .registry import QUERIES, SQL
 
 

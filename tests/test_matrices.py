@@ -28,13 +28,6 @@ def test_k_medoids_against_enumeration():
     assert mx.k_medoids(d, 3)[1] <= 1.1 * best
 
 
-def test_linkage():
-    x = np.array([[0.0], [1.0], [10.0], [12.0], [30.0]])
-    merges, far = mx.average_linkage(mx.pairwise(x, x))
-    assert [m[3] for m in merges] == [2, 2, 4, 5] and merges[0][2] == 1 and merges[1][2] == 2
-    assert far[0, 3] == 10.5 and list(mx.clusters_of(merges, 5, 2)) == [0, 0, 0, 0, 1] and list(mx.clusters_of(merges, 5, 5)) == [0, 1, 2, 3, 4]
-
-
 def test_outlier_has_the_largest_factor(spark):
     x = np.vstack([points(60, 2), [[30.0, 30.0]]])
     assert mx.lof(mx.pairwise(x, x), 5).argmax() == 60
