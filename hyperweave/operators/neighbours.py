@@ -1,7 +1,7 @@
 """Nearest neighbours, hubness and retrieval scores of a stated query set against all rows.
 
-Queries are the rows whose id is divisible by QUERY_STEP. They meet the other rows in blocks: queries are few
-enough to be sent to every task when their measured size allows, and are dealt with block by block otherwise.
+Queries are the rows whose id is divisible by QUERY_STEP. They are sent to every task if their measured size allows it;
+otherwise blocks of them meet parts of the rows, each block and part under a key of its own.
 """
 
 from __future__ import annotations
@@ -11,21 +11,27 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..functions.state import cut, running_within
 
 QUERY_STEP = 100
-#: Rows of a query block, which every task of the other side gets at once.
-BLOCK_ROWS = 20_000
+#: Bytes (as text) of the queries that every task may get at once, and of a block of them.
+BLOCK_BYTES = 32 << 20
+#: Parts of the rows for each task of a shuffle, where queries are dealt out in blocks.
+PARTS = 4
 
 
 def in_blocks(queries: DataFrame, rows: DataFrame) -> DataFrame:
-    """Every pair of a query and a row; queries go out in blocks of a bounded number of rows, one join for each."""
-    blocks = max(1, -(-queries.count() // BLOCK_ROWS))
-    if blocks == 1:
+    """Every pair of a query (id ``i``) and a row (id ``j``).
+
+    Small queries are broadcast. Others are cut into blocks of BLOCK_BYTES and the rows into parts; queries go once to each
+    part and rows once to each block, and meet by the key of both, so no task holds more than a block and a part.
+    """
+    size = queries.agg(F.sum(F.octet_length(F.to_json(F.struct(*queries.columns))))).first()[0] or 0
+    blocks = -(-size // BLOCK_BYTES)
+    if blocks <= 1:
         return rows.join(F.broadcast(queries))
-    named = cut(queries.withColumn("_block", F.pmod(F.xxhash64(*queries.columns), F.lit(2 * blocks))))
-    out = None
-    for b in range(2 * blocks):
-        one = rows.join(F.broadcast(named.where(F.col("_block") == b).drop("_block")))
-        out = one if out is None else out.union(one)
-    return out
+    parts = PARTS * int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    named = cut(queries.withColumn("_block", F.pmod(F.xxhash64("i"), F.lit(blocks)))).withColumn("_part", each(parts))
+    dealt = rows.withColumn("_part", F.pmod(F.xxhash64("j"), F.lit(parts))).withColumn("_block", each(blocks))
+    return dealt.join(named, ["_block", "_part"]).drop("_block", "_part")
 
 
 def against_all(df: DataFrame, id_col: str) -> DataFrame:

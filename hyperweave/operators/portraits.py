@@ -58,7 +58,7 @@ def portrait_divergence(portraits: DataFrame) -> DataFrame:
     total = portraits.groupBy("hg").agg(F.sum("times").alias("t"))
     cell = F.concat_ws("-", "m", "n", "l", "k").alias("cell")
     share = written(portraits.join(total, "hg").select("hg", cell, (F.col("times") / F.col("t")).alias("p")))
-    known = numbered(share.select("cell").distinct(), [], ["cell"], "c").select("cell", F.col("c").cast("int").alias("c"))
+    known = numbered(share.select("cell").distinct(), [], ["cell"], "c").select("cell", "c")
     coded = look_up(share, ["cell"], known, hot_keys(share, ["cell"]))
     maps = coded.groupBy("hg").agg(F.map_from_entries(F.collect_list(F.struct("c", "p"))).alias("h"))
     x, y = (lambda k: F.col("q.h")[k]), (lambda k: F.col("x.h")[k])

@@ -14,7 +14,7 @@ from .registry import query
 PORTRAIT_SQL = (
     f"{EVENT_SQL}, a AS (SELECT hg, e, count(*) AS a FROM inc GROUP BY hg, e HAVING count(*) > 1), big AS (SELECT i.* FROM inc i JOIN a USING (hg, e)), "
     "near AS (SELECT DISTINCT x.hg, x.e, y.e AS f FROM big x JOIN big y ON x.hg = y.hg AND x.v = y.v AND x.e <> y.e), "
-    "walk AS (SELECT hg, e, e AS f, 0 AS l FROM a UNION SELECT w.hg, w.e, n.f, w.l + 1 FROM walk w JOIN near n ON n.hg = w.hg AND n.e = w.f WHERE w.l < 24), "
+    "walk AS (SELECT hg, e, e AS f, 0 AS l FROM a UNION SELECT w.hg, w.e, n.f, w.l + 1 FROM walk w JOIN near n ON n.hg = w.hg AND n.e = w.f WHERE w.l < (SELECT count(*) FROM a x WHERE x.hg = w.hg)), "
     "far AS (SELECT hg, e, f, min(l) AS l FROM walk GROUP BY hg, e, f), ends AS (SELECT hg, max(l) AS longest FROM far GROUP BY hg), top AS (SELECT hg, max(a) AS largest FROM a GROUP BY hg), "
     "grid AS (SELECT hg, e, a AS m, unnest(range(2, largest + 1)) AS n, longest FROM a JOIN ends USING (hg) JOIN top USING (hg)), full_grid AS (SELECT hg, e, m, n, unnest(range(0, longest + 1)) AS l FROM grid), "
     "k AS (SELECT far.hg, far.e, b.a AS n, l, count(*) AS k FROM far JOIN a b ON b.hg = far.hg AND b.e = far.f GROUP BY ALL), "

@@ -1,4 +1,4 @@
-"""Every registered query against its SQL on the smallest given tables, and against a fixed row count without one."""
+"""Every registered query with SQL against it on the smallest given tables; those without have tests of their operators."""
 
 import datetime
 import decimal

@@ -136,3 +136,14 @@ def test_stream_equals_batch_over_a_folder_of_part_files(spark, tmp_path, parts)
     want = {tuple(r) for r in windowed_counts(spark.read.parquet(path), "user_id", "ts", "1 day").collect()}
     got = {(r.key, r.start, r.n) for r in run_stream(spark, path, "user_id", "ts", "1 day").collect()}
     assert got == want and len(want) > 5
+
+
+def test_queries_in_blocks_meet_every_row_once(spark, monkeypatch):
+    from hyperweave.operators import neighbours as nb
+
+    df = spark.createDataFrame([(k, [float(k % 7), 1.0]) for k in range(0, 900, 3)], "id long, v array<double>")
+    whole = sorted((r.i, r.j, tuple(r.x.v)) for r in nb.against_all(df, "id").collect())
+    monkeypatch.setattr(nb, "BLOCK_BYTES", 40)
+    assert sorted((r.i, r.j, tuple(r.x.v)) for r in nb.against_all(df, "id").collect()) == whole
+    assert len(whole) == 3 * 299
+    assert nb.against_all(df.where("id < 0"), "id").collect() == []
