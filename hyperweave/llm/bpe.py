@@ -39,8 +39,9 @@ from .common import give_back
 #: Bytes that one recursive query takes (a longer word is taken alone), and characters of documents that wait for it.
 BYTES_AT_ONCE = 150_000
 CHARS_AT_ONCE = 4_000_000
-#: Blank-separated pieces, and pieces of words, that a worker keeps from one stretch to the next.
-KEPT_PIECES, KEPT_PARTS = 250_000, 300_000
+#: Blank-separated pieces that a worker keeps from one stretch to the next, and a quarter more pieces of words; fewer
+#: take less memory and more time.
+KEPT_PIECES = 250_000
 #: What the database may hold, and bytes of it for each byte of a word that is taken alone.
 MEMORY, MEMORY_PER_BYTE = 200_000_000, 1200
 #: Longer pieces contract several pairs in one round.
@@ -172,7 +173,8 @@ class Cuts:
 class Encoder:
     """The merge table in a DuckDB database of its own, and the pieces that were encoded last."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, kept: int = KEPT_PIECES):
+        self.kept = kept
         self.find = regex.compile(pattern).findall
         self.ranks = ranks
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": f"{MEMORY}B", "temp_directory": ""})
@@ -242,7 +244,7 @@ class Encoder:
         starts, of, whole = starts[keep], of[keep], whole[keep]
         ends = np.where(whole, first[of] + size[of], ends[keep])
         pieces = [joined[s:e] if not w else (joined[s:e], None) for s, e, w in zip(starts.tolist(), ends.tolist(), whole.tolist())]
-        if len(self.parts) > KEPT_PARTS:
+        if len(self.parts) > self.kept * 5 // 4:
             self.parts.clear()
         parts = self.parts
         new = list(dict.fromkeys([p for p in pieces if p not in parts]))
@@ -291,7 +293,7 @@ class Encoder:
     def learn(self, pieces: list[str]) -> list[Encoded | None]:
         """The encoded pieces, None for those with other white space, where cuts at blanks aren't safe."""
         known = self.known
-        if len(known) > KEPT_PIECES:
+        if len(known) > self.kept:
             known.clear()
         new = [p for p in pieces if p not in known]
         spelled = [" " + p if p.isalpha() else self.spelled(p) for p in new]
@@ -367,14 +369,14 @@ class Encoder:
         return bytes.fromhex(text)
 
 
-_ENCODERS: dict[tuple[str, str], Encoder] = {}
+_ENCODERS: dict[tuple[str, str, int], Encoder] = {}
 
 
-def encoder(path: str, pattern: str) -> Encoder:
+def encoder(path: str, pattern: str, kept: int = KEPT_PIECES) -> Encoder:
     """The worker's own encoder for a rank file; its tables are built once in each worker."""
-    if (path, pattern) not in _ENCODERS:
-        _ENCODERS[path, pattern] = Encoder(read_ranks(path), pattern)
-    return _ENCODERS[path, pattern]
+    if (path, pattern, kept) not in _ENCODERS:
+        _ENCODERS[path, pattern, kept] = Encoder(read_ranks(path), pattern, kept)
+    return _ENCODERS[path, pattern, kept]
 
 
 def forget() -> None:
@@ -390,13 +392,13 @@ DIGESTS = "doc_id long, n_tokens long, {}ids_sha256 string, decoded_sha256 strin
 
 
 def encoded(
-    docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True
+    docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, kept: int = KEPT_PIECES
 ) -> DataFrame:
     """(doc_id, n_tokens, ids, ids_sha256, decoded_sha256) for each row: its ids, and the digests of the ids (decimal,
-    joined by commas) and of what they decode to."""
+    joined by commas) and of what they decode to. ``kept`` bounds the pieces that a worker keeps."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path, pattern)
+        own = encoder(path, pattern, kept)
         docs: list[int | None] = []
         texts: list[str] = []
         size = 0
