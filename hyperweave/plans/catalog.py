@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignments, blocks, details, edits, graphs, intervals, language, linkage, matrices, measures, ngrams, reports, sequences, sources, spectra, temporal  # noqa: F401  they register their queries
+from . import alignments, blocks, corruptions, details, edits, graphs, intervals, language, linkage, matrices, measures, ngrams, reports, sequences, sources, spectra, temporal  # noqa: F401  they register their queries
 from .registry import QUERIES, SQL
 
 
