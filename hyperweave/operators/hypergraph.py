@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.state import cut
 from .components import linked
 
+#: Rows of a table of links that any one task could hold, so hot keys need no care below it.
+FEW = 1_000_000
+
 
 def arity(inc: DataFrame, keys: tuple[str, ...] = ("hg",)) -> DataFrame:
     return inc.groupBy(*keys, "e").agg(F.count("*").alias("arity"))
@@ -72,7 +75,7 @@ def components(inc: DataFrame, keys: tuple[str, ...] = ("hg",)) -> DataFrame:
     """
     least = inc.groupBy(*keys, "e").agg(F.min("v").alias("least"))
     links = inc.select(*keys, "e", "v").join(least, [*keys, "e"]).select(*keys, F.col("least").alias("u"), "v")
-    found = linked(links, keys).select(*keys, F.col("node").alias("v"), "comp")
+    found = linked(links, keys, FEW).select(*keys, F.col("node").alias("v"), "comp")
     every = inc.select(*keys, "v").distinct()
     return every.join(found, [*keys, "v"], "left").select(*keys, "v", F.coalesce("comp", "v").alias("comp"))
 

@@ -147,3 +147,25 @@ def test_queries_in_blocks_meet_every_row_once(spark, monkeypatch):
     assert sorted((r.i, r.j, tuple(r.x.v)) for r in nb.against_all(df, "id").collect()) == whole
     assert len(whole) == 3 * 299
     assert nb.against_all(df.where("id < 0"), "id").collect() == []
+
+
+def test_components_alike_with_and_without_hot_keys(spark):
+    from hyperweave.operators.components import linked
+
+    r = random.Random(4)
+    links = [(0, k) for k in range(1, 40)] + [(k, k + 1) for k in range(100, 140)] + [(r.randrange(200, 300), r.randrange(200, 300)) for _ in range(70)]
+    r.shuffle(links)
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        if a != b:
+            a, b = sorted((find(a), find(b)))
+            root[b] = a
+    df = spark.createDataFrame(links, "u long, v long")
+    for few in (0, 60, 1000):  # tables of links above it, nodes below it; all below it
+        assert {x.node: x.comp for x in linked(df, (), few).collect()} == {x: find(x) for x in root}
