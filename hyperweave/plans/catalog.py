@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignments, blocks, corruptions, crossval, details, edits, graphs, intervals, ladders, language, linkage, matrices, measures, ngrams, reports, scaling, sequences, sources, spectra, temporal  # noqa: F401  they register their queries
+from . import alignments, blocks, corruptions, crossval, details, dissimilarity, edits, graphs, intervals, ladders, language, linkage, matrices, measures, ngrams, reports, scaling, sequences, sources, spectra, temporal  # noqa: F401  they register their queries
 from .registry import QUERIES, SQL
 
 
