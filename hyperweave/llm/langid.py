@@ -156,15 +156,20 @@ class LanguageModel:
     """Letter trigrams and scripts of languages, learned from (text, language) rows."""
 
     def __init__(self, rows: list[tuple[str, str]]):
-        self.langs = sorted({lang for _, lang in rows})
-        counts = np.zeros((BUCKETS, len(self.langs)))
-        scripts = np.zeros((SCRIPTS, len(self.langs)))
+        langs = sorted({lang for _, lang in rows})
+        counts = np.zeros((BUCKETS, len(langs)))
+        scripts = np.zeros((SCRIPTS, len(langs)))
         for text, lang in rows:
             low, _, _, _ = _words([text])
             inside = low > 0
-            k = self.langs.index(lang)
+            k = langs.index(lang)
             np.add.at(counts[:, k], _grams(low)[inside], 1)
             scripts[:, k] += np.bincount(_script(low[inside]), minlength=SCRIPTS)
+        self.learn(langs, counts, scripts)
+
+    def learn(self, langs: list[str], counts: np.ndarray, scripts: np.ndarray) -> None:
+        """From the counts of trigrams (buckets, languages) and scripts (scripts, languages); ``langs`` is sorted."""
+        self.langs = langs
         total = counts.sum(axis=0) + 0.05 * BUCKETS
         counts += 0.05
         counts /= total
@@ -293,6 +298,51 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return LanguageModel(picked)
 
 
+def fit_whole(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
+    """Fit a model on all rows with a language, whole texts: tasks count, their counts are summed by language.
+
+    Only the sums of MAX_LANGS languages, those with the most characters, reach the driver.
+    """
+    rows = docs.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    most = rows.groupBy("lang").agg(F.sum(F.length("text")).alias("chars")).orderBy(F.desc("chars"), "lang").limit(MAX_LANGS)
+    langs = sorted(r.lang for r in most.collect())
+    if not langs:
+        return LanguageModel([])
+    taken = set(langs)
+
+    def pieces(found: dict[str, np.ndarray]) -> pd.DataFrame:
+        cells = [(lang, np.flatnonzero(c)) for lang, c in found.items()]
+        return pd.DataFrame({"lang": [lang for lang, _ in cells], "cell": [w for _, w in cells], "n": [found[lang][w] for lang, w in cells]})
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: dict[str, np.ndarray] = {}
+        for f in frames:
+            for lang, own in f[f["lang"].isin(taken)].groupby("lang")["text"]:
+                if lang not in found and len(found) == 100:  # memory for so many languages at once
+                    yield pieces(found)
+                    found = {}
+                counts = found.setdefault(lang, np.zeros(BUCKETS + SCRIPTS, np.int64))
+                texts = own.tolist()
+                for at, to in _slices(texts, SLICE):
+                    low = _words(texts[at:to])[0]
+                    inside = low > 0
+                    counts[:BUCKETS] += np.bincount(_grams(low)[inside], minlength=BUCKETS)
+                    counts[BUCKETS:] += np.bincount(_script(low[inside]), minlength=SCRIPTS)
+        if found:
+            yield pieces(found)
+        give_back()
+
+    counted = rows.mapInPandas(run, "lang string, cell array<long>, n array<long>")
+    counted = counted.select("lang", F.explode(F.arrays_zip("cell", "n")).alias("x")).groupBy("lang", "x.cell").agg(F.sum("x.n").alias("n"))
+    counts = np.zeros((BUCKETS + SCRIPTS, len(langs)))
+    at = {lang: k for k, lang in enumerate(langs)}
+    for r in counted.toLocalIterator():
+        counts[r.cell, at[r.lang]] = r.n
+    model = LanguageModel([])
+    model.learn(langs, counts[:BUCKETS], counts[BUCKETS:])
+    return model
+
+
 def identify(
     docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:

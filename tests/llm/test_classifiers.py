@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 import pytest
 
-from hyperweave.llm import langid, quality, toxicity
+from hyperweave.llm import common, langid, quality, toxicity
 
 from .helpers import empty, odd
 
@@ -165,3 +165,73 @@ def test_every_language_is_learned_however_small_or_long_its_texts(spark):
     rows += [(1000, "ein kleiner satz", "de"), (1001, "une phrase tres longue " * 5000, "fr")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     assert langid.fit(docs).langs == ["de", "en", "fr"]
+
+
+def clumsy(n, words=3):
+    """(documents, labels) of n short and n long texts; those with an odd id are toxic by one word, far inside."""
+    r = np.random.default_rng(4)
+    calm = [f"calm{chr(97 + a)}{chr(97 + b)}" for a in range(8) for b in range(8)]
+    docs, labels = [], []
+    for k in range(2 * n):
+        own = list(r.choice(calm, words if k < n else 1500))
+        own.insert(len(own) // 2, "vilest" if k % 2 else "gentle")
+        docs.append((k, " ".join(own), "en" if k % 3 else "de"))
+        labels.append((k, 1, k % 2))
+    return docs, labels
+
+
+def right(spark, docs, labels):
+    truth = {k: y for k, _, y in labels}
+    docs, labels = spark.createDataFrame(docs, "doc_id long, text string, lang string"), spark.createDataFrame(labels, LABELS)
+    got = toxicity.scored(docs, toxicity.fit(docs, labels)).collect()
+    return np.mean([(r.score >= 0.5) == truth[r.doc_id] for r in got])
+
+
+def test_toxicity_learns_from_long_texts_too(spark):
+    docs, labels = clumsy(60)
+    assert min(len(t) for _, t, _ in docs[60:]) > 9000
+    assert right(spark, docs[60:], labels[60:]) == 1.0
+
+
+def test_toxicity_learns_from_all_labelled_rows_in_many_tasks(spark, monkeypatch):
+    docs, labels = clumsy(200)
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 80)
+    for most in (common.BROADCAST_IDS, 0):  # labels are broadcast, or texts dealt out by id
+        monkeypatch.setattr(common, "BROADCAST_IDS", most)
+        frames = spark.createDataFrame(docs, "doc_id long, text string, lang string"), spark.createDataFrame(labels, LABELS)
+        rows = common.labelled_rows(*frames, "toxic", toxicity.FOLDS, toxicity.HELD_OUT, toxicity.SHARD_ROWS)
+        assert rows.rdd.getNumPartitions() > 3
+        assert {(r._id, r.label, r.text) for r in rows.collect()} == {(k, k % 2, t) for k, t, _ in docs if not held(k, 5, 0)}
+    assert right(spark, docs, labels) > 0.98
+
+
+def test_thresholds_have_the_fewest_errors(spark):
+    r = np.random.default_rng(6)
+    words = ["ab", "cd", "ef", "gh", "ij", "kl", "mn", "op"]
+    rows = [(k, int(r.random() < 0.4), " ".join(r.choice(words, 4))) for k in range(300)]
+    m = toxicity.ToxicityModel()
+    margin, y = m.margin([t for _, _, t in rows]), np.array([y for _, y, _ in rows])
+    near = np.unique(margin.astype(float))
+    tries = np.concatenate(([near[0] - 1], (near[1:] + near[:-1]) / 2, [near[-1] + 1]))
+    wrong = np.array([((margin >= t) & (y == 0)).sum() + ((margin < t) & (y == 1)).sum() for t in tries])
+    found = toxicity._thresholds(m, spark.createDataFrame(rows, "_id long, label int, text string").repartition(3))
+    assert np.abs(found[0] - tries[wrong == wrong.min()]).min() < 1e-4
+    one = toxicity._thresholds(m, spark.createDataFrame(rows[:1], "_id long, label int, text string"))
+    assert one.tolist() == [0.0]
+
+
+def test_windows_of_blocks_are_those_of_whole_texts(monkeypatch):
+    m = toxicity.ToxicityModel()
+    words, windows = toxicity.padded(*toxicity.word_buckets(["a b c d e f g h i j k", "", " ".join(f"w{chr(97 + k)}" for k in range(26)), "x"]), 4)
+    best, where = m.places(words, windows)
+    assert np.allclose(best, m.pooled(words, windows)) and (where >= windows[:, :1]).all() and (where < windows[:, 1:]).all()
+    monkeypatch.setattr(toxicity, "BLOCK", 5)
+    again, there = m.places(words, windows)
+    assert np.allclose(best, again, atol=1e-6) and (where == there).all()
+
+
+def test_languages_of_all_rows_equal_those_of_one_list(spark):
+    rows = [("the cat and the dog", "en"), ("der hund " * 10_000, "de"), ("\u043a\u043e\u0442 \u0438 \U0001f600", "ru"), ("this that", "en")]
+    one = langid.LanguageModel(rows)
+    all_rows = langid.fit_whole(spark.createDataFrame([*rows, (None, "fr"), ("who", None)], "text string, lang string").repartition(3))
+    assert all_rows.langs == one.langs and (all_rows.may == one.may).all() and np.allclose(all_rows.logp, one.logp)
