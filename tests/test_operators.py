@@ -169,3 +169,28 @@ def test_components_alike_with_and_without_hot_keys(spark):
     df = spark.createDataFrame(links, "u long, v long")
     for few in (0, 60, 1000):  # tables of links above it, nodes below it; all below it
         assert {x.node: x.comp for x in linked(df, (), few).collect()} == {x: find(x) for x in root}
+
+
+def test_equal_rows_are_compared_once(spark, monkeypatch):
+    """Pairs of ids come from classes of equal rows: as many comparisons as pairs of classes, whatever the ids."""
+    from pyspark.sql import functions as F
+
+    from hyperweave.operators import neighbours as nb
+
+    queries = spark.createDataFrame([(100 * k, "ab" if k % 2 else "xyz") for k in range(6)], "i long, a string")
+    rows = spark.createDataFrame([(k, ["ab", "abc", None][k % 3]) for k in range(300)], "j long, b string")
+    done = spark.sparkContext.accumulator(0)
+
+    def told(a, b):
+        done.add(1)
+        return None if b is None else len(a) - len(b)
+
+    found = nb.compared(queries, rows, d=F.udf(told, "int")("a", "b"))
+    got = sorted((r.i, r.j, -9 if r.d is None else r.d) for r in found.collect())
+    a, b = {r.i: r.a for r in queries.collect()}, {r.j: r.b for r in rows.collect()}
+    assert got == sorted((i, j, -9 if b[j] is None else len(a[i]) - len(b[j])) for i in a for j in b)
+    assert done.value == 6  # 2 names and 3 words
+    for ids in ("CLASS_IDS", "DEALT_IDS"):
+        monkeypatch.setattr(nb, ids, 7)
+    assert sorted((r.i, r.j, -9 if r.d is None else r.d) for r in nb.compared(queries, rows, d=F.udf(told, "int")("a", "b")).collect()) == got
+    assert nb.compared(queries, rows.where("j < 0"), d=F.lit(1)).collect() == nb.compared(queries.where("i < 0"), rows, d=F.lit(1)).collect() == []
