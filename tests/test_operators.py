@@ -190,7 +190,18 @@ def test_equal_rows_are_compared_once(spark, monkeypatch):
     a, b = {r.i: r.a for r in queries.collect()}, {r.j: r.b for r in rows.collect()}
     assert got == sorted((i, j, -9 if b[j] is None else len(a[i]) - len(b[j])) for i in a for j in b)
     assert done.value == 6  # 2 names and 3 words
-    for ids in ("CLASS_IDS", "DEALT_IDS"):
+    for ids in ("CLASS_IDS", "DEALT_IDS", "DEALT_QUERIES"):
         monkeypatch.setattr(nb, ids, 7)
     assert sorted((r.i, r.j, -9 if r.d is None else r.d) for r in nb.compared(queries, rows, d=F.udf(told, "int")("a", "b")).collect()) == got
     assert nb.compared(queries, rows.where("j < 0"), d=F.lit(1)).collect() == nb.compared(queries.where("i < 0"), rows, d=F.lit(1)).collect() == []
+
+
+def test_records_of_equal_histograms_are_one_class(spark):
+    from hyperweave.operators import distances, neighbours as nb
+
+    rows = spark.sql("SELECT * FROM VALUES (1, map('a', 1, 'b', 2)), (2, map('b', 2, 'a', 1)), (3, map('a', 1)) AS t(id, h)")
+    assert sorted(sorted(r.ids) for r in nb.classes(rows, "id").collect()) == [[1, 2], [3]]
+    items = [(0, "a"), (0, "b"), (0, "b"), (1, "b"), (1, "a"), (1, "b"), (2, "c"), (100, "a")]
+    found = distances.histogram_distances(spark.createDataFrame(items, "id long, k string"), "id", "k")
+    got = {(r.i, r.j): (r.l1, round(r.chi2, 6)) for r in found.collect()}
+    assert got == {(0, 1): (0, 0.0), (0, 2): (4, 2.0), (0, 100): (2, 1.0), (100, 0): (2, 1.0), (100, 1): (2, 1.0), (100, 2): (2, 1.0)}
