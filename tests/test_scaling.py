@@ -58,3 +58,23 @@ def test_held_out_errors_against_loops(spark, monkeypatch):
         assert np.allclose([r.error for r in got], want) and [r.dim for r in got] == [1, 2, 3]
         assert got[0].pairs == sum((fold != fold[p]).sum() for p in asked)
     assert sc.held_out_errors(table(spark, x, fold).limit(0), "id", "v", "fold", queries, 3).count() == 0
+
+
+def test_negative_zeros_stay_as_in_sql(spark, tmp_path):
+    """Coordinates just below zero: their text is the same as SQL's, not only their value."""
+    import duckdb
+
+    from hyperweave.plans import catalog
+
+    near = np.eye(10) * 2.0**-17
+    rows = np.concatenate([np.diag(3 - np.arange(10) / 8), near])
+    rows = np.concatenate([rows, -rows])
+    df = spark.createDataFrame([(k, [float(x) for x in r], 0) for k, r in enumerate(rows)], "vec_id long, embedding array<float>, label int")
+    df.write.parquet(f"file://{tmp_path}/embeddings.parquet")
+    found = {r.id: [str(x) for x in r.coords] for r in catalog.queries()["landmark_scaling"](spark, f"file://{tmp_path}").collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = {i: [str(x) for x in c] for i, c in con.execute(catalog.oracle_sql()["landmark_scaling"]).fetchall()}
+    below = [(at + k, k) for k in range(8) for at in (10, 30)]  # 2**-17 on its own axis, and as much below zero
+    assert {want[i][k] for i, k in below} == {"0.0", "-0.0"}
+    assert [found[i][k] for i, k in below] == [want[i][k] for i, k in below]
