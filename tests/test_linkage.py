@@ -132,3 +132,12 @@ def test_neighbours_are_raised_until_the_ends_are_joined(spark):
     assert k == 3 and r.path[0] == 0 and r.path[-1] == 4 and len(r.path) > 2
     found, k = pt.joined_paths(dist, pairs, 1, 2)
     assert k == 2 and found.collect()[0].path is None
+
+
+def test_known_distances_are_not_told_again(spark, monkeypatch):
+    edges = spark.createDataFrame([(0, 1, 2), (1, 2, 2), (0, 2, 5), (3, 4, 1)], "a long, b long, w long")
+    pairs = spark.createDataFrame([(0, 2), (0, 4), (3, 4)], "source long, target long")
+    want = sorted(map(str, pt.paths(edges, pairs).collect()))
+    dist = pt.distances(edges, pairs)
+    monkeypatch.setattr(pt, "distances", None)
+    assert sorted(map(str, pt.paths(edges, pairs, dist).collect())) == want
